@@ -1,5 +1,6 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
+from . import op10_sentencepiece as op10
 from . import op5_token_counts as op5
 from . import op6_chat_formatting as op6
 from . import op7_decontamination as op7
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_chat_formatting": op6.op6_chat_formatting,
     "op7_decontamination": op7.op7_decontamination,
     "op9_url_filters": op9.op9_url_filters,
+    "op10_sentencepiece": op10.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
