@@ -1,12 +1,14 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
 from . import op10_sentencepiece as op10
+from . import op2_fingerprints as op2
 from . import op5_token_counts as op5
 from . import op6_chat_formatting as op6
 from . import op7_decontamination as op7
 from . import op9_url_filters as op9
 
 QUERIES = {
+    "op2_fingerprints": op2.op2_fingerprints,
     "op5_token_counts": op5.op5_token_counts,
     "op6_chat_formatting": op6.op6_chat_formatting,
     "op7_decontamination": op7.op7_decontamination,
