@@ -2,6 +2,7 @@
 
 from . import op10_sentencepiece as op10
 from . import op2_fingerprints as op2
+from . import op3_warc as op3
 from . import op5_token_counts as op5
 from . import op6_chat_formatting as op6
 from . import op7_decontamination as op7
@@ -9,6 +10,7 @@ from . import op9_url_filters as op9
 
 QUERIES = {
     "op2_fingerprints": op2.op2_fingerprints,
+    "op3_warc": op3.op3_warc,
     "op5_token_counts": op5.op5_token_counts,
     "op6_chat_formatting": op6.op6_chat_formatting,
     "op7_decontamination": op7.op7_decontamination,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": op3.ORACLE_SQL,
     "op6_chat_formatting": op6.ORACLE_SQL,
     "op7_decontamination": op7.ORACLE_SQL,
     "op9_url_filters": op9.ORACLE_SQL,
