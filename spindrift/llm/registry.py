@@ -6,6 +6,7 @@ from . import op3_warc as op3
 from . import op5_token_counts as op5
 from . import op6_chat_formatting as op6
 from . import op7_decontamination as op7
+from . import op8_language as op8
 from . import op9_url_filters as op9
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_token_counts": op5.op5_token_counts,
     "op6_chat_formatting": op6.op6_chat_formatting,
     "op7_decontamination": op7.op7_decontamination,
+    "op8_language": op8.op8_language,
     "op9_url_filters": op9.op9_url_filters,
     "op10_sentencepiece": op10.op10_sentencepiece,
 }
