@@ -1,6 +1,7 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
 from . import op10_sentencepiece as op10
+from . import op1_quality as op1
 from . import op2_fingerprints as op2
 from . import op3_warc as op3
 from . import op5_token_counts as op5
@@ -10,6 +11,7 @@ from . import op8_language as op8
 from . import op9_url_filters as op9
 
 QUERIES = {
+    "op1_quality": op1.op1_quality,
     "op2_fingerprints": op2.op2_fingerprints,
     "op3_warc": op3.op3_warc,
     "op5_token_counts": op5.op5_token_counts,
