@@ -4,6 +4,7 @@ from . import op10_sentencepiece as op10
 from . import op1_quality as op1
 from . import op2_fingerprints as op2
 from . import op3_warc as op3
+from . import op4_ngram_join as op4
 from . import op5_token_counts as op5
 from . import op6_chat_formatting as op6
 from . import op7_decontamination as op7
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality": op1.op1_quality,
     "op2_fingerprints": op2.op2_fingerprints,
     "op3_warc": op3.op3_warc,
+    "op4_ngram_join": op4.op4_ngram_join,
     "op5_token_counts": op5.op5_token_counts,
     "op6_chat_formatting": op6.op6_chat_formatting,
     "op7_decontamination": op7.op7_decontamination,
