@@ -1,2 +1,56 @@
+"""A corpus from raw documents to token ids, a stage at a time.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
+columns of documents. run() writes each stage's rows as Parquet in the shared folder and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import op1_quality, op4_ngram_join, op7_decontamination, op8_language, op10_sentencepiece
+from spindrift.llm.common import cut, table
+
+#: A language with less than this probability is no decision; four languages at random have 0.25.
+LEAST_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return op1_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language that the network can tell, go."""
+    net = op8_language.fit(docs.filter(op8_language.remainder() != 2))
+    told = op8_language.predict(docs, net).filter((F.col("lang_pred") != op8_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies one document stays."""
+    return op4_ngram_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any benchmark window go."""
+    judged = op7_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return judged.filter("n_items = 0").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document."""
+    return op10_sentencepiece.encode_texts(docs.select("doc_id", "lang", "source", "text")).drop("text")
+
+
+STAGES = [("quality", quality), ("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("encoding", encoding)]
+
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs

@@ -93,7 +93,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, shar
 
     Keys with more than 1/share of all rows number less than `share`, so that part of right is broadcast with a proven
     bound and left's hot rows stay where they are; all other keys meet in a shuffle, where none has over 1/share of the
-    rows. Null keys match null keys.
+    rows. Null keys match null keys. Both sides are read more than once: they should be tables or cheap to make.
     """
     total = right.agg(F.sum(rows)).first()[0] or 0
     hot = F.col(rows) > max(total // share, 1)
@@ -103,6 +103,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, shar
     warm = F.broadcast(r.filter("_hot").select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(keys))], F.col("_v").alias("_hv")))
     cool = r.filter("not _hot").select(*[F.col(f"_k{i}").alias(f"_c{i}") for i in range(len(keys))], F.col("_v").alias("_cv"))
     first = left.join(warm, on("_h"), "left")
+    if how == "left" and right.filter(~hot).isEmpty():  # then one pass over left is enough
+        return first.select(*left.columns, "_hv.*")
     done = first.filter("_hv is not null").select(*left.columns, "_hv.*")
     rest = first.filter("_hv is null").select(*left.columns).join(cool, on("_c"), how).select(*left.columns, "_cv.*")
     return done.unionByName(rest)

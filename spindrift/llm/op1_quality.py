@@ -207,6 +207,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return posteriors(evidence, "host", "path", trust, threshold)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", host_col: str = "source", path_col: str = "lang", trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows that the classifier keeps. Texts are read once for the groups' sums and once more for the filter."""
+    model = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels.select("doc_id", "quality"))
+    judged = posteriors(own_evidence(docs, model, text_col), host_col, path_col, trust, threshold)
+    return judged.filter("keep").select(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's evidence, the posteriors of its host and path, and whether it is kept."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

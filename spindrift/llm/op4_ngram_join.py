@@ -332,10 +332,10 @@ def _blocks(df: DataFrame, size: str, block: int, key: str) -> DataFrame:
 
 
 def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
-    """doc_id, class_id, n_links of every row of df."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(append(docs, ["text"], _SIGNED, _signer, keep=["doc_id"]), "signed")
-    empty = seen.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    """doc_id, text_hash, root (the class's key, null without words), class_id, n_links of every row of df."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    seen = cut(append(docs, ["text"], _SIGNED, _signer, keep=["doc_id", "text_hash"]), "signed")
+    empty = seen.filter("key is null").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     copies = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     members = cut(copies, "members")
 
@@ -364,10 +364,25 @@ def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     classes = counts.join(again, "key", "left").select("key", "links", F.coalesce("root", F.when(F.col("n") == 1, F.col("peer")).otherwise(F.col("key"))).alias("root"))
     classes = members.select("key", "first_id", "copies").join(classes, "key", "left")
     classes = cut(classes.select("key", "first_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "classes")
-    ids = classes.filter("root <> key").select("root", "first_id").unionByName(classes.filter("root = key").select("root", "first_id")).groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = cut(classes.join(ids, "root").select("key", "copies", "class_id", "n_links"), "named")
-    rest = hot_join(seen.filter("key is not null").select("doc_id", "key"), named, ["key"], "copies")
-    return rest.select("doc_id", "class_id", "n_links").unionByName(empty)
+    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = cut(classes.join(ids, "root").select("key", "copies", "root", "class_id", "n_links"), "named")
+    rest = hot_join(seen.filter("key is not null").select("doc_id", "text_hash", "key"), named, ["key"], "copies")
+    return rest.select("doc_id", "text_hash", "root", "class_id", "n_links").unionByName(empty)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
+    """df's rows but for near copies: of each class the row with the smallest id (nulls last) stays, once.
+
+    Rows without words are copies of nothing; they stay, rows repeated with one id once.
+    """
+    rows = cut(memberships(df, id_col, text_col, likeness).select("doc_id", "text_hash", "root"), "rows")
+    best = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
+    kept = best.select("w.doc_id", "w.text_hash").unionByName(rows.filter("root is null").select("doc_id", "text_hash")).groupBy("doc_id", "text_hash").count()
+    kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
+    out = df.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_hash")), "left_semi")
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return out
+    return out.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
 _SIGNED = [T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
@@ -400,4 +415,4 @@ def _regrammer() -> Callable[[pa.Array, pa.Array], list]:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
-    return memberships(table(spark, sf_dir, "documents"))
+    return memberships(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
