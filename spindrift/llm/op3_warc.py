@@ -342,8 +342,9 @@ READ = T.StructType(
 )
 
 
-def read_archives(captures: DataFrame, folder: str) -> DataFrame:
-    """What the archives hold of each capture of a merged index."""
+def read_archives(captures: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """What the archives hold of each capture of a merged index, read by so many tasks: index rows are few bytes for the
+    archive bytes that they stand for, so their number does not follow from their size."""
     schema = to_arrow_schema(READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,14 +363,14 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(schema)], schema=schema)
         f.close()
 
-    return captures.repartition("archive", (F.col("offset") / (64 << 20)).cast("long")).sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
+    return captures.repartition(tasks, "archive", (F.col("offset") / (64 << 20)).cast("long")).sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through archives, runs and the merged index, read back."""
     folder = scratch(spark, "warc")
     runs, n = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return read_archives(merge_runs(runs, folder, n), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(merge_runs(runs, folder, n), folder, n).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
