@@ -83,9 +83,10 @@ class Grams:
             kept.clear()
         hashes = list(map(kept.get, words))
         if None in hashes:
-            for w in set(words) - kept.keys():
-                kept[w] = xxhash.xxh3_64_intdigest(w)
-            hashes = [kept[w] for w in words]
+            for w in words:
+                if w not in kept:
+                    kept[w] = xxhash.xxh3_64_intdigest(w)
+            hashes = list(map(kept.__getitem__, words))
         w = np.array(hashes, np.uint64)
         k = min(n, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
