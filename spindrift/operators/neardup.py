@@ -1,13 +1,15 @@
 """Near duplicates by SimHash: pairs within a few bits, and the duplicate each row is suppressed for.
 
 Rows with one fingerprint are one row of a join (their ids are kept as the smallest and the count), so copies cost
-nothing. With `bands`, the 64 bits are cut into DUPLICATE_BITS + 1 bands: fingerprints that differ in at most that many
-bits agree in one band whole, so no pair is missed. The single bucket of the top byte, which misses pairs that differ
-there, is kept as an option.
+nothing. `banded` joins on all choices of three of six blocks of the 64 bits: fingerprints that differ in three bits
+agree in three blocks whole, so no pair is missed, and a key of about 32 bits keeps chance meetings few at any scale.
+The single bucket of the top byte, which misses pairs that differ there, is kept as an option.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,26 @@ def bucket(simhash: Column) -> Column:
     return F.shiftright(simhash, 64 - BUCKET_BITS)
 
 
-def bands(simhash: Column, bits: int = DUPLICATE_BITS) -> Column:
-    """(band, value) of the bits + 1 bands."""
-    width = 64 // (bits + 1)
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(simhash, k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k in range(bits + 1)])
+def masks(bits: int = DUPLICATE_BITS, agreeing: int = 3) -> list[int]:
+    """Masks of `agreeing` whole blocks, in all choices from bits + agreeing blocks of the 64 bits, as signed numbers.
+
+    Fingerprints that differ in at most `bits` bits agree in `agreeing` of the blocks at least, so under one mask whole.
+    """
+    n = bits + agreeing
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in pairwise(edges)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, agreeing))]
+
+
+def keys(simhash: Column, bits: int = DUPLICATE_BITS, agreeing: int = 3) -> Column:
+    """(band, value): what is left of a fingerprint under each mask."""
+    return F.array(*[F.struct(F.lit(k).alias("band"), simhash.bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks(bits, agreeing))])
 
 
 def close_fingerprints(rows: DataFrame, bits: int = DUPLICATE_BITS, banded: bool = True, simhash_col: str = "simhash") -> DataFrame:
     """a, b: the different fingerprints, a < b, that differ in at most `bits` bits."""
     each = rows.filter(F.col(simhash_col).isNotNull()).select(F.col(simhash_col).alias("s")).distinct()
-    keyed = each.select("s", F.explode(bands(F.col("s"), bits)).alias("k")).select("s", "k.*") if banded else each.select("s", F.lit(0).alias("band"), bucket(F.col("s")).alias("value"))
+    keyed = each.select("s", F.explode(keys(F.col("s"), bits)).alias("k")).select("s", "k.*") if banded else each.select("s", F.lit(0).alias("band"), bucket(F.col("s")).alias("value"))
     left, right = keyed.withColumnRenamed("s", "a"), keyed.withColumnRenamed("s", "b")
     return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= bits)).select("a", "b").distinct()
 
