@@ -69,3 +69,24 @@ def robots_allowed(urls: DataFrame, policies: DataFrame) -> DataFrame:
     known = policies.select("host", F.col("body").alias("_body"), F.col("is_crawlable").alias("_open"), F.col("has_rules").alias("_rules"))
     out = urls.join(known, "host", "left").withColumn("_can", can("_body", "url"))
     return out.withColumn("allowed", F.coalesce(F.col("_open") & F.col("_rules") & F.col("_can"), F.lit(False))).drop("_body", "_open", "_rules", "_can")
+
+
+def hosts_to_refresh(domains: DataFrame, now: Column) -> DataFrame:
+    """The domains whose robots answer is missing, was not final, or is older than it may be."""
+    return domains.filter(is_stale(F.col("robots_fetched_at"), now))
+
+
+def refresh(domains: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """domains with new answers (host, body, status) put in; one that is not final leaves the domain stale."""
+    new = parse_robots(answers.select("host", "body", F.coalesce("status", F.lit(599)).alias("status")))
+    new = new.select("host", F.struct("body", "status", "is_crawlable", "crawl_delay_ms", "is_final").alias("_n"))
+    out = domains.join(new, "host", "left")
+    put = {
+        "robots_body": F.col("_n.body"),
+        "robots_status": F.col("_n.status").cast("short"),
+        "robots_fetched_at": F.when(F.col("_n.is_final"), now),
+        "robots_expires_at": F.when(F.col("_n.is_final"), now + F.expr(f"interval {ROBOTS_TTL_HOURS} hours")),
+        "crawl_delay_ms": F.col("_n.crawl_delay_ms"),
+        "is_crawlable": F.col("_n.is_crawlable"),
+    }
+    return out.withColumns({k: F.when(F.col("_n").isNotNull(), v).otherwise(F.col(k)) for k, v in put.items()}).drop("_n")

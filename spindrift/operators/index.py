@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schemas import INDEX_BATCH, INDEX_CONTENT_CHARS
 from .neardup import first_duplicates
 
+#: Which columns the index searches, filters by and shows.
+SETTINGS = {"searchable": ("title", "description", "content"), "filterable": ("lang",), "displayed": ("id", "url", "title", "description", "lang"), "ranking": ("words", "typo", "proximity", "attribute", "exactness")}
+
 
 def pending(documents: DataFrame, batch: int = INDEX_BATCH, id_col: str = "url_id") -> DataFrame:
     """The pending documents that have waited longest."""

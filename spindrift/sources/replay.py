@@ -40,15 +40,17 @@ def fetch(tasks: DataFrame, responses: DataFrame, render_mode: str = "static", e
     return out.withColumns({"body": F.when(shown, F.col("body")), "render_mode": F.lit(render_mode)})
 
 
-def fetch_with_render(tasks: DataFrame, static: DataFrame, rendered: DataFrame) -> DataFrame:
+def fetch_with_render(tasks: DataFrame, static: DataFrame, rendered: DataFrame, slots: int | None = None) -> DataFrame:
     """As fetch(); pages of domains that need a browser, and static pages that lack their content, take the rendered answer
     if it has a body. `js_evidence` tells whose static page was thin. Only pages that came whole are rendered again.
+    `slots` bounds the tasks that read rendered answers at a time.
     """
     js = F.coalesce(F.col("js_required"), F.lit(False)) if "js_required" in tasks.columns else F.lit(False)
     first = fetch(tasks, static)
     thin = has_body(F.col("outcome"), F.octet_length("body")) & needs_render(F.col("body"))
     first = first.withColumn("_thin", F.coalesce(thin, F.lit(False))).withColumn("_want", js | F.col("_thin"))
     second = fetch(tasks.select("url").distinct(), rendered, "rendered").filter(has_body(F.col("outcome"), F.octet_length("body")))
+    second = second.coalesce(slots) if slots else second
     second = second.select("url", F.struct("status_code", "content_type", "body", "outcome", "render_mode", "duration_ms").alias("_r"))
     out = first.join(second, "url", "left")
     use = F.col("_want") & F.col("_r").isNotNull()

@@ -53,3 +53,16 @@ def test_outcome_order(spark):
     df = spark.createDataFrame(rows, "s int, t string, n long, e string")
     got = df.select(fetching.outcome(F.col("s"), F.col("t"), F.col("n"), F.col("e")).alias("o")).collect()
     assert [r.o for r in got] == ["not_modified", "too_large", "http_error", "non_html", "too_large", "ok", "network_error"]
+
+
+def test_refresh(spark):
+    from datetime import datetime
+
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    rows = [("new", None, None, None, None, 1000, True), ("fresh", "x", 200, datetime(2026, 1, 1, 12), None, 1000, True), ("old", "x", 200, datetime(2025, 12, 31), None, 1000, True)]
+    domains = spark.createDataFrame(rows, "host string, robots_body string, robots_status short, robots_fetched_at timestamp, robots_expires_at timestamp, crawl_delay_ms int, is_crawlable boolean")
+    assert sorted(r.host for r in policy.hosts_to_refresh(domains, now).collect()) == ["new", "old"]
+    answers = spark.createDataFrame([("new", "User-agent: *\nCrawl-delay: 3", 200), ("old", None, None)], "host string, body string, status int")
+    got = {r.host: r for r in policy.refresh(domains, answers, now).collect()}
+    assert (got["new"].crawl_delay_ms, got["new"].robots_fetched_at) == (3000, datetime(2026, 1, 2))
+    assert (got["old"].is_crawlable, got["old"].robots_fetched_at) == (False, None) and got["fresh"].robots_fetched_at == datetime(2026, 1, 1, 12)
