@@ -47,8 +47,11 @@ def simhash_md5(df: DataFrame, id_col: str, text_col: str, n: int = SIMHASH_TOKE
     rows = df.select(F.col(id_col).alias("_id"), tokens.alias("_t")).select("_id", F.explode(F.when(F.size("_t") > 0, shingles).otherwise(F.array(F.lit("")))).alias("_s"))
     h = F.conv(F.substring(F.md5("_s"), 1, 16), 16, -10).cast("long")
     hashed = rows.select("_id", F.when(F.col("_s") != "", h).alias("_h"))
-    votes = hashed.groupBy("_id").agg(F.count("_h").alias("_n"), *[F.sum(F.shiftright("_h", b).bitwiseAND(F.lit(1))).alias(f"_b{b}") for b in range(64)])
-    bits = [F.when(2 * F.col(f"_b{b}") > F.col("_n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
+    # Two votes to a sum: those of bit b and, 32 bits higher, of bit b + 32.
+    both = [F.sum(F.shiftright("_h", b).bitwiseAND(F.lit(1 | 1 << 32))).alias(f"_b{b}") for b in range(32)]
+    votes = hashed.groupBy("_id").agg(F.count("_h").alias("_n"), *both)
+    count = lambda b: F.col(f"_b{b}").bitwiseAND(F.lit((1 << 32) - 1)) if b < 32 else F.shiftright(f"_b{b - 32}", 32)
+    bits = [F.when(2 * count(b) > F.col("_n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..operators import attempts as history
 from ..operators import extract, frontier, index, neardup, specs
 from ..sources import replay
+from ..sources.scratch import cut
 from . import fixtures as T
 
 NOW = f"TIMESTAMP '{T.NOW}'"
@@ -295,12 +296,13 @@ _CLOSE = ", close AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sim a JOIN sim b
 
 
 def _simhashes(spark: SparkSession, d: str) -> DataFrame:
-    return fingerprints.simhash_md5(T.table(spark, d, "documents"), "doc_id", "text")
+    """Written once: what follows reads it several times."""
+    return cut(fingerprints.simhash_md5(T.table(spark, d, "documents"), "doc_id", "text"), "simhashes")
 
 
 @query("SELECT doc_id, simhash FROM sim", _SIMHASH)
 def simhash_md5(spark: SparkSession, d: str) -> DataFrame:
-    return _simhashes(spark, d)
+    return fingerprints.simhash_md5(T.table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT a.simhash AS a, b.simhash AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM s a JOIN s b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3", _SIMHASH + ", s AS (SELECT DISTINCT simhash FROM sim)")
@@ -426,7 +428,7 @@ def crawl_round(spark: SparkSession, d: str) -> DataFrame:
     claimed = frontier.claim(u, T.domains(u), T.now(), batch=10_000)
     answers = replay.from_pages(T.pages(spark, d)).withColumn("url", U.normalize(F.col("url"))).dropDuplicates(["url"])
     fetched = replay.fetch(claimed, answers).filter(fetching.has_body(F.col("outcome"), F.octet_length("body")))
-    docs = extract.extract_pages(fetched.select("url_id", "host", "url", F.col("body").alias("html"))).drop("links")
+    docs = cut(extract.extract_pages(fetched.select("url_id", "host", "url", F.col("body").alias("html"))).drop("links"), "extracted")
     drained = index.drain(docs.withColumn("index_state", F.lit("pending")), T.now())
     return index.payload(drained.filter("index_state = 'indexed'").select("url_id", "url", "title", "description", "lang", "text"))
 
