@@ -1,12 +1,8 @@
-"""What the training-data operators share: tables, shared storage, Arrow passes and joins on hot keys."""
+"""What the training-data operators share: tables, Arrow passes and joins on hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.scratch import cut, scratch, shared_dir
+
+__all__ = ["SLICE_BYTES", "append", "cut", "hot_join", "scratch", "shared_dir", "slices", "table"]
+
 #: A batch is cut into slices of about this many bytes before Python holds intermediate values for it.
 SLICE_BYTES = 8 << 20
 
@@ -22,38 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own() -> str:
-    return tempfile.mkdtemp(prefix="spindrift-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own()
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may have ended before  # noqa: BLE001
-            pass
-
-    atexit.register(remove)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes; one row can be larger."""
     for b in batches:
