@@ -17,7 +17,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE = "▁"
 #: Words that a task keeps at most besides those of the vocabulary; beyond, it starts anew. Only speed depends on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
