@@ -17,7 +17,6 @@ judged alike; input columns named as outputs are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_right
 from collections.abc import Callable
 
