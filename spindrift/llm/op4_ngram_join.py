@@ -221,7 +221,7 @@ EDGE = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.Bi
 
 
 def candidate_edges(batches: Iterator[pa.RecordBatch], likeness: float = LIKENESS, small: int = 24) -> Iterator[pa.RecordBatch]:
-    """Forest edges of buckets: rows band, i, j, place, side, key, sig, sorted by bucket and pair of blocks (i, j)."""
+    """Forest edges of buckets: rows band, i, j, side, key, sig, sorted by bucket and pair of blocks (i, j)."""
     least, schema = least_agreeing(likeness), to_arrow_schema(EDGE)
 
     def batch(u: list, v: list) -> pa.RecordBatch:
@@ -232,8 +232,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], likeness: float = LIKENES
 
     def flush() -> pa.RecordBatch:
         rows = [r for g in held for r in g]
-        s = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, VALUES)
-        place = np.fromiter((r[0] for r in rows), np.int64, len(rows))
+        s = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, VALUES)
         sizes = np.fromiter(map(len, held), np.int64, len(held))
         starts = np.cumsum(sizes) - sizes
         parts = []
@@ -242,12 +241,13 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], likeness: float = LIKENES
             at = starts[sizes == m][:, None]
             parts.append(((at + x).ravel(), (at + y).ravel()))
         a, b = (np.concatenate(p) for p in zip(*parts, strict=True))
-        left = prune(s, a, b, least)
-        a, b = a[left], b[left]
-        # A pair belongs to the first band in which it agrees: others need not report it again.
-        same = (s[a].reshape(-1, BANDS, ROWS) == s[b].reshape(-1, BANDS, ROWS)).all(2)
-        first = same.argmax(1) == place[a]
-        return batch([rows[i][2] for i in a[first]], [rows[i][2] for i in b[first]])
+        # The bytes cannot tell in which band a pair met first, as bytes of different values can agree: each bucket links its own.
+        forest = Forest(len(rows))
+        for k in prune(s, a, b, least):
+            forest.join(int(a[k]), int(b[k]))
+        roots = forest.roots()
+        k = np.nonzero(roots != np.arange(len(rows)))[0]
+        return batch([rows[x][1] for x in k], [rows[roots[x]][1] for x in k])
 
     for (_, i, j), rows in groups(batches, 3):
         if len(rows) < 2:
@@ -259,10 +259,10 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], likeness: float = LIKENES
                 yield flush()
                 held, n = [], 0
             continue
-        s = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, VALUES)
-        roots = joined(s, np.array([r[1] for r in rows]), least, i != j)
+        s = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, VALUES)
+        roots = joined(s, np.array([r[0] for r in rows]), least, i != j)
         k = [x for x in range(len(rows)) if roots[x] != x]
-        yield batch([rows[x][2] for x in k], [rows[roots[x]][2] for x in k])
+        yield batch([rows[x][1] for x in k], [rows[roots[x]][1] for x in k])
     if held:
         yield flush()
 
@@ -340,11 +340,11 @@ def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     copies = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     members = cut(copies, "members")
 
-    buckets = members.select("key", F.posexplode("bands").alias("place", "band"))
+    buckets = members.select("key", F.explode("bands").alias("band"))
     full = buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = buckets.join(full, "band")
     met = shared.join(members.select("key", "sig"), "key")
-    dealt = _blocks(met, "size", BUCKET_BLOCK, "key").select("band", "i", "j", "place", "side", "key", "sig")
+    dealt = _blocks(met, "size", BUCKET_BLOCK, "key").select("band", "i", "j", "side", "key", "sig")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     edges = dealt.mapInArrow(lambda batches: candidate_edges(batches, likeness), EDGE)
     found = components(edges, "u", "v")

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spindrift.llm import op4_ngram_join as op4
@@ -93,6 +94,25 @@ def test_pruning_keeps_what_can_reach_the_threshold():
     assert len(op4.prune(s, np.array([0]), np.array([1]), least)) == 1
 
 
+def test_pairs_that_meet_in_any_bucket_are_linked():
+    rng = np.random.default_rng(5)
+    n = 4_000
+    u = rng.integers(0, 2**63, (n, op4.VALUES), np.uint64)
+    v = np.where(rng.random((n, op4.VALUES)) < rng.uniform(0.8, 0.9, (n, 1)), u, rng.integers(0, 2**63, u.shape, np.uint64))
+    rows, want = [], set()
+    for k, pair in enumerate(zip(u, v, strict=True)):
+        keys = [k.to_bytes(4) + bytes([side]) for side in (0, 1)]
+        sigs, bands = [op4.short(x) for x in pair], [op4.band_keys(x) for x in pair]
+        for place in np.nonzero(bands[0] == bands[1])[0]:
+            rows += [(int(bands[0][place]), 0, 0, 0, key, sig) for key, sig in zip(keys, sigs, strict=True)]
+        if (bands[0] == bands[1]).any() and len(op4.prune(np.stack([np.frombuffer(x, np.uint8) for x in sigs]), np.array([0]), np.array([1]), op4.least_agreeing())):
+            want.add(tuple(keys))
+    rows.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["band", "i", "j", "side", "key", "sig"])]
+    got = {tuple(sorted(e)) for b in op4.candidate_edges(iter(batches)) for e in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    assert len(want) > 0.99 * n and got == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 199)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain], "u binary, v binary")
