@@ -337,8 +337,8 @@ def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     seen = cut(append(docs, ["text"], _SIGNED, _signer, keep=["doc_id", "text_hash"]), "signed")
     empty = seen.filter("key is null").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    copies = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    members = cut(copies, "members")
+    copies = seen.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    members = cut(copies.select("key", F.col("w.doc_id").alias("first_id"), F.col("w.text_hash").alias("first_hash"), "copies", "sig", "bands"), "members")
 
     buckets = members.select("key", F.explode("bands").alias("band"))
     full = buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -351,8 +351,9 @@ def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
     placed = found.join(sizes, "root").select(F.col("node").alias("key"), "root", "size")
-    placed = placed.join(members.select("key", "first_id", "copies"), "key")
-    texts = placed.join(docs, placed.first_id.eqNullSafe(docs.doc_id)).select("root", "size", "key", "copies", "text")
+    placed = placed.join(members.select("key", "first_id", "first_hash", "copies"), "key")
+    # By text as well, so that members under null ids or one repeated id meet rows of their own text alone.
+    texts = placed.join(docs, placed.first_id.eqNullSafe(docs.doc_id) & (placed.first_hash == docs.text_hash)).select("root", "size", "key", "copies", "text")
     grams = append(texts, ["text", "key"], [T.StructField("grams", T.BinaryType())], _regrammer, keep=["root", "size", "key", "copies"]).filter("grams is not null")
     dealt = _blocks(grams, "size", GROUP_BLOCK, "key").select("root", "i", "j", "blocks", "side", "key", "copies", "grams")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

@@ -64,6 +64,28 @@ def test_join_matches_all_pairs(spark, monkeypatch, block):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)[0]
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_members_of_one_id_meet_their_own_texts(spark, monkeypatch, doc_id):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(40)]
+    met = spark.sparkContext.accumulator(0)
+    make = op4._regrammer
+
+    def counted():
+        run = make()
+
+        def count(texts, keys):
+            met.add(len(texts))
+            return run(texts, keys)
+
+        return count
+
+    monkeypatch.setattr(op4, "_regrammer", counted)
+    got = op4.memberships(spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.class_id, r.n_links)) for r in got) == brute([(doc_id, t) for t in texts])[0]
+    assert met.value == len(texts)
+
+
 def test_one_of_each(spark):
     rows = make_texts()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
