@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.urls import normalize
+from .functions.urls import normalize, registrable_host
 from .operators import attempts, extract, frontier, specs
 from .schemas import SCRAPE_SPECS, SCRAPE_TARGETS, SCRAPED_RECORDS
 from .sources import replay
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("spindrift")
     p.add_argument("--store", required=True, help="folder of the tables")
     p.add_argument("--answers", help="Parquet of recorded pages: url, html")
+    p.add_argument("--robots", help="Parquet of recorded robots answers: host, body, status; with it, what they deny or lack is not fetched")
     p.add_argument("--now", default=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("seed").add_argument("urls", nargs="+")
@@ -54,7 +55,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("spindrift").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store, now = SnapshotStore(spark, a.store), F.lit(a.now).cast("timestamp")
     answers = replay.from_pages(spark.read.parquet(a.answers)).withColumn("url", normalize(F.col("url"))).dropDuplicates(["url"]) if a.answers else spark.createDataFrame([], replay.RESPONSES)
-    crawl = Crawl(spark, store, answers, f"{a.store}/history")
+    robots = spark.read.parquet(a.robots).dropDuplicates(["host"]) if a.robots else None
+    crawl = Crawl(spark, store, answers, f"{a.store}/history", robots)
     table = lambda name, s: store.read(name, s)
     if a.command == "seed":
         crawl.seed(replay.seeds(spark, a.urls), a.now)
@@ -86,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         new = specs.submit(spec_id, replay.seeds(spark, a.urls), old, now).withColumns({"target_id": F.col("place") + first, "domain_id": F.xxhash64("host")})
         store.write("targets", old.unionByName(new.drop("place", "host"), allowMissingColumns=True))
     elif a.command == "scrape":
-        scrape(spark, store, answers, now)
+        scrape(spark, store, answers, now, robots)
     elif a.command == "records":
         known = table("specs", SCRAPE_SPECS).filter(F.col("name") == a.spec)
         spec = (known.filter(F.col("version") == a.version) if a.version else specs.latest(known)).first()
@@ -96,19 +98,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         print(json.dumps({"dropped": attempts.drop_old(spark, a.history, a.now)}))
 
 
-def scrape(spark: SparkSession, store: SnapshotStore, answers, now) -> None:  # noqa: ANN001
+def scrape(spark: SparkSession, store: SnapshotStore, answers, now, robots=None) -> None:  # noqa: ANN001
     """Fetch and scrape the due targets of each active specification."""
     targets, active = store.read("targets", SCRAPE_TARGETS), specs.listing(store.read("specs", SCRAPE_SPECS)).filter("is_active")
     for spec in active.toLocalIterator():  # specifications are written by hand, one job each
         due = targets.filter((F.col("spec_id") == spec["spec_id"]) & (F.col("status") == "pending") & (F.col("next_attempt_at") <= now))
-        got = replay.fetch(due, answers)
+        due = due.withColumn("host", registrable_host(F.col("url")))
+        got = replay.fetch(due, answers) if robots is None else replay.fetch_allowed(due, answers, replay.robots(robots))
         rows = extract.scrape_pages(got.withColumn("html", F.col("body")).drop("body"), spec["fields"], spec["link_field"]).persist()
         whole = F.col("outcome") == "ok"
         records = rows.filter(whole & F.col("data").isNotNull()).select("target_id", "spec_id", "data", now.alias("extracted_at"), now.alias("updated_at"))
         store.write("records", frontier.merge(store.read("records", SCRAPED_RECORDS), records, ["target_id"]))
         done = frontier.complete(rows.filter(whole), now, "last_attempted_at", "next_attempt_at")
-        failed = frontier.fail(rows.filter(~whole), now, due_col="next_attempt_at")
-        store.write("targets", frontier.merge(targets, done.unionByName(failed).select(*SCRAPE_TARGETS.names), ["target_id"]))
+        denied = F.col("outcome") == "robots_denied"
+        skipped = frontier.skip(rows.filter(denied))
+        failed = frontier.fail(rows.filter(~whole & ~denied), now, due_col="next_attempt_at")
+        store.write("targets", frontier.merge(targets, done.unionByName(failed).unionByName(skipped, allowMissingColumns=True).select(*SCRAPE_TARGETS.names), ["target_id"]))
         targets = store.read("targets", SCRAPE_TARGETS)
         rows.unpersist()
 

@@ -256,10 +256,15 @@ def crawl_delay_clamp(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT url_id, CASE WHEN domain_id % 4 = 0 THEN false WHEN domain_id % 4 = 1 THEN NOT regexp_matches(url, '://[^/]*/(en|es)/') WHEN domain_id % 4 = 2 THEN true ELSE false END AS allowed FROM urls")
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     u = T.urls(spark, d)
+    return policy.robots_allowed(u.select("url_id", "host", "url"), _robots(u)).select("url_id", "allowed")
+
+
+def _robots(u: DataFrame) -> DataFrame:
+    """Policies of three in four hosts: refused, with rules, without any; the fourth has no answer."""
     k = F.col("domain_id") % 4
     rules = "User-agent: *\nDisallow: /en/\nDisallow: /es/\nCrawl-delay: 2"
     answers = T.domains(u).filter(k != 3).select("host", F.when(k == 1, rules).alias("body"), F.when(k == 0, 403).when(k == 1, 200).otherwise(404).alias("status"))
-    return policy.robots_allowed(u.select("url_id", "host", "url"), replay.robots(answers)).select("url_id", "allowed")
+    return replay.robots(answers)
 
 
 @query("SELECT host, NOT k IN (0, 3) AS is_crawlable, CASE WHEN k = 1 THEN 2000 ELSE 1000 END AS crawl_delay_ms, k <> 3 AS is_final FROM (SELECT host, domain_id % 4 AS k FROM domains)")
@@ -427,7 +432,7 @@ def crawl_round(spark: SparkSession, d: str) -> DataFrame:
     u = T.urls(spark, d)
     claimed = frontier.claim(u, T.domains(u), T.now(), batch=10_000)
     answers = replay.from_pages(T.pages(spark, d)).withColumn("url", U.normalize(F.col("url"))).dropDuplicates(["url"])
-    fetched = replay.fetch(claimed, answers).filter(fetching.has_body(F.col("outcome"), F.octet_length("body")))
+    fetched = replay.fetch_allowed(claimed, answers, _robots(u)).filter(fetching.has_body(F.col("outcome"), F.octet_length("body")))
     docs = cut(extract.extract_pages(fetched.select("url_id", "host", "url", F.col("body").alias("html"))).drop("links"), "extracted")
     drained = index.drain(docs.withColumn("index_state", F.lit("pending")), T.now())
     return index.payload(drained.filter("index_state = 'indexed'").select("url_id", "url", "title", "description", "lang", "text"))

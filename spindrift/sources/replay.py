@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fetching import challenge_type, has_body, needs_render, outcome
-from ..functions.policy import parse_robots
+from ..functions.policy import parse_robots, robots_allowed
 from ..operators.specs import validate
 
 RESPONSES = "url string, status int, content_type string, etag string, last_modified string, body string, error_class string, duration_ms int"
@@ -40,6 +40,13 @@ def fetch(tasks: DataFrame, responses: DataFrame, render_mode: str = "static", e
     return out.withColumns({"body": F.when(shown, F.col("body")), "render_mode": F.lit(render_mode)})
 
 
+def fetch_allowed(tasks: DataFrame, responses: DataFrame, policies: DataFrame) -> DataFrame:
+    """As fetch(), for tasks (host, url) that their host's policy allows; the others are not fetched: robots_denied."""
+    checked = robots_allowed(tasks, policies)
+    denied = checked.filter("not allowed").withColumns({"outcome": F.lit("robots_denied"), "error_class": F.lit("robots_denied")})
+    return fetch(checked.filter("allowed"), responses).unionByName(denied, allowMissingColumns=True).drop("allowed")
+
+
 def fetch_with_render(tasks: DataFrame, static: DataFrame, rendered: DataFrame, slots: int | None = None) -> DataFrame:
     """As fetch(); pages of domains that need a browser, and static pages that lack their content, take the rendered answer
     if it has a body. `js_evidence` tells whose static page was thin. Only pages that came whole are rendered again.

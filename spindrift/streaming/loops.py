@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions import policy
 from ..functions.fetching import has_body
 from ..functions.urls import normalize
 from ..operators import attempts as history
@@ -19,7 +20,7 @@ from ..sources import replay
 from ..sources.store import SnapshotStore
 
 URLS = "url_id long, domain_id long, host string, url string, url_key string, depth int, priority int, status string, lease_owner string, lease_expires_at timestamp, next_crawl_at timestamp, last_crawled_at timestamp, attempt_count int, consecutive_failures int, etag string"
-DOMAINS = "domain_id long, host string, is_crawlable boolean, next_available_at timestamp, crawl_delay_ms int, js_required boolean, js_evidence_count int"
+DOMAINS = "domain_id long, host string, is_crawlable boolean, next_available_at timestamp, crawl_delay_ms int, js_required boolean, js_evidence_count int, robots_body string, robots_status short, robots_fetched_at timestamp, robots_expires_at timestamp"
 DOCUMENTS = "url_id long, url string, title string, description string, lang string, text string, word_count int, content_sha256 string, simhash long, index_state string, duplicate_of long, indexed_at timestamp, updated_at timestamp"
 
 
@@ -32,10 +33,14 @@ def at(now: str) -> Column:
 
 
 class Crawl:
-    """Rounds of claim, fetch, extract and commit over recorded answers; each round is one pass over one claimed batch."""
+    """Rounds of claim, fetch, extract and commit over recorded answers; each round is one pass over one claimed batch.
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore, answers: DataFrame, history_path: str | None = None) -> None:
-        self.spark, self.store, self.answers, self.history = spark, store, answers, history_path
+    With recorded robots answers (host, body, status), hosts are closed until their answer is read, and urls that it denies
+    are skipped. Without such a table there are no rules to apply.
+    """
+
+    def __init__(self, spark: SparkSession, store: SnapshotStore, answers: DataFrame, history_path: str | None = None, robots: DataFrame | None = None) -> None:
+        self.spark, self.store, self.answers, self.history, self.robots = spark, store, answers, history_path, robots
 
     def read(self, name: str) -> DataFrame:
         return self.store.read(name, schema(self.spark, {"urls": URLS, "domains": DOMAINS, "documents": DOCUMENTS}[name]))
@@ -50,15 +55,29 @@ class Crawl:
         # Ids follow the place where a url was first seen; those of one insert start after the largest so far.
         new = new.withColumn("url_id", F.col("place") + F.lit(first + 1))
         hosts = frontier.upsert_domains(new.select("host", "url_id"), domains, "url_id").join(domains.select("host"), "host", "left_anti")
-        defaults = {"is_crawlable": F.lit(True), "next_available_at": at(now), "crawl_delay_ms": F.lit(1000), "js_required": F.lit(False), "js_evidence_count": F.lit(0)}
-        self.store.write("domains", domains.unionByName(hosts.withColumns(defaults)))
+        defaults = {"is_crawlable": F.lit(self.robots is None), "next_available_at": at(now), "crawl_delay_ms": F.lit(1000), "js_required": F.lit(False), "js_evidence_count": F.lit(0)}
+        self.store.write("domains", domains.unionByName(hosts.withColumns(defaults), allowMissingColumns=True))
         ids = self.read("domains").select("host", "domain_id")
         rows = new.join(ids, "host").withColumns({"attempt_count": F.lit(0), "consecutive_failures": F.lit(0)}).drop("place")
         self.store.write("urls", urls.unionByName(rows, allowMissingColumns=True))
 
+    def _refresh_robots(self, t: Column) -> None:
+        """Stale hosts, not only claimed ones, get their answer: one closed by an answer that was not final can open again."""
+        domains = self.read("domains")
+        answers = policy.hosts_to_refresh(domains, t).select("host").join(self.robots.select("host", "body", "status"), "host", "left")
+        self.store.write("domains", policy.refresh(domains, answers, t))
+
+    def _fetch(self, mine: DataFrame) -> DataFrame:
+        if self.robots is None:
+            return replay.fetch(mine, self.answers)
+        known = self.read("domains").select("host", F.col("robots_body").alias("body"), F.col("robots_status").cast("int").alias("status"))
+        return replay.fetch_allowed(mine, self.answers, replay.robots(known))
+
     def round(self, now: str, worker: str = "worker", batch: int = frontier.BATCH_SIZE) -> int:
         """One round; the number of claimed urls. Expired leases go back to the queue first."""
         t = at(now)
+        if self.robots is not None:
+            self._refresh_robots(t)
         urls, domains = frontier.reap(self.read("urls"), t).drop("reaped"), self.read("domains")
         claimed = frontier.claim(urls, domains, t, batch).persist()
         try:
@@ -68,7 +87,7 @@ class Crawl:
             self.store.write("domains", frontier.advance_domains(domains, claimed, t))
             self.store.write("urls", frontier.lease(urls, claimed, worker, t))
             mine = self.read("urls").filter(F.col("lease_owner") == worker).join(F.broadcast(claimed.select("url_id")), "url_id", "left_semi")
-            got = replay.fetch(mine, self.answers).persist()
+            got = self._fetch(mine).persist()
             self._commit(got, t, now)
             got.unpersist()
             return n
@@ -86,9 +105,9 @@ class Crawl:
         own = urls.join(got.select("url_id", "outcome", whole.alias("_whole")), "url_id").join(pages.select("url_id", F.lit(True).alias("_doc")), "url_id", "left")
         parts = [
             frontier.complete(own.filter("_doc"), t),
-            frontier.skip(own.filter("_whole and _doc is null")),
+            frontier.skip(own.filter("outcome = 'robots_denied' or (_whole and _doc is null)")),
             frontier.reschedule(own.filter("outcome = 'not_modified'"), t),
-            frontier.fail(own.filter("not _whole and outcome <> 'not_modified'"), t),
+            frontier.fail(own.filter("not _whole and outcome not in ('not_modified', 'robots_denied')"), t),
         ]
         changed = parts[0]
         for p in parts[1:]:

@@ -50,6 +50,33 @@ def test_cli_scrape(spark, tmp_path, capsys):
     assert '"is_active":false' in capsys.readouterr().out
 
 
+def test_robots_rules_hold_where_urls_are_fetched(spark, tmp_path, capsys):
+    from spindrift.sources import replay
+
+    rules = [("a.example", "User-agent: *\nDisallow: /one", 200), ("c.example", None, 403), ("d.example", None, 503)]
+    robots = spark.createDataFrame(rules, "host string, body string, status int")
+    urls = ["https://a.example/one", "https://b.example/", "https://c.example/", "https://d.example/"]
+    pages = spark.createDataFrame([(u, PAGES[1][1]) for u in [*urls, "https://a.example/"]], "url string, html string")
+    crawl = Crawl(spark, SnapshotStore(spark, str(tmp_path / "store")), replay.from_pages(pages), None, robots)
+    crawl.seed(replay.seeds(spark, urls), T0)
+    assert crawl.round(T0) == 1 and crawl.round(T1) == 0
+    state = {r.url: r.status for r in crawl.read("urls").collect()}
+    assert [state[u] for u in urls] == ["skipped", "pending", "pending", "pending"] and crawl.read("documents").count() == 0
+    crawl.robots = robots.filter("host <> 'd.example'").union(spark.createDataFrame([("d.example", None, 404)], robots.schema))
+    assert crawl.round(T1) == 1 and [r.url for r in crawl.read("documents").collect()] == ["https://d.example/"]
+
+    spec = tmp_path / "spec.json"
+    spec.write_text('{"name": "t", "fields": [{"name": "m", "selector": "main"}]}')
+    pages.write.parquet(str(tmp_path / "pages"))
+    robots.write.parquet(str(tmp_path / "robots"))
+    run = lambda *a: cli.main(["--store", str(tmp_path / "s"), "--answers", str(tmp_path / "pages"), "--robots", str(tmp_path / "robots"), "--now", T0, *a], spark)
+    run("spec", "add", str(spec))
+    run("submit-scrape", "t", *urls, "https://a.example/")
+    run("scrape")
+    targets = SnapshotStore(spark, str(tmp_path / "s")).read("targets", cli.SCRAPE_TARGETS).collect()
+    assert {r.url: r.status for r in targets} == dict.fromkeys(urls, "skipped") | {"https://a.example/": "done"}
+
+
 def test_attempts_stream_and_retention(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     spark.sql("SELECT id, timestamp'2026-01-15 00:00:00' - make_dt_interval(cast(id * 20 as int)) AS started_at FROM range(8)").write.parquet(src)
