@@ -59,8 +59,8 @@ def _gate(domains: DataFrame, now: Column, strict: bool) -> DataFrame:
     return domains.filter(F.col("is_crawlable") & (F.col("next_available_at") <= now)) if strict else domains
 
 
-def claim(urls: DataFrame, domains: DataFrame, now: Column, batch: int = BATCH_SIZE, strict: bool = True, due_col: str = "next_crawl_at", id_col: str = "url_id") -> DataFrame:
-    """The best due row of each of the first `batch` domains that have any: highest priority, then longest due, then id.
+def claim(urls: DataFrame, domains: DataFrame, now: Column, batch: int | None = BATCH_SIZE, strict: bool = True, due_col: str = "next_crawl_at", id_col: str = "url_id") -> DataFrame:
+    """The best due row of each of the first `batch` domains (None: of all) that have any: highest priority, then longest due, then id.
 
     With `strict`, domains that may not be crawled, or not yet, give nothing. A domain's best row is a minimum that is
     combined before the shuffle: a domain with a third of all rows costs a row a task, and nothing is sorted.
@@ -69,7 +69,9 @@ def claim(urls: DataFrame, domains: DataFrame, now: Column, batch: int = BATCH_S
     order = ([(-F.col("priority")).alias("p")] if "priority" in urls.columns else []) + [F.col(due_col).alias("d"), F.col(id_col).alias("i")]
     best = due.groupBy("domain_id").agg(F.min_by(F.struct(*[c for c in urls.columns if c not in ("domain_id", "host")]), F.struct(*order)).alias("r"))
     gate = _gate(domains, now, strict).select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns])
-    return best.join(gate, "domain_id").orderBy("domain_id").limit(batch).select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns], "r.*")
+    out = best.join(gate, "domain_id")
+    out = out if batch is None else out.orderBy("domain_id").limit(batch)
+    return out.select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns], "r.*")
 
 
 def lease(urls: DataFrame, claimed: DataFrame, worker: str, now: Column, lease_s: int = LEASE_SECONDS, id_col: str = "url_id") -> DataFrame:

@@ -428,9 +428,9 @@ def blob_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def crawl_round(spark: SparkSession, d: str) -> DataFrame:
-    """Claim, fetch, extract, suppress near duplicates and make the index payload, for all due urls that may be crawled."""
+    """Claim, fetch, extract, suppress near duplicates and make the index payload, for the best due url of every domain that may be crawled."""
     u = T.urls(spark, d)
-    claimed = frontier.claim(u, T.domains(u), T.now(), batch=10_000)
+    claimed = frontier.claim(u, T.domains(u), T.now(), batch=None)
     answers = replay.from_pages(T.pages(spark, d)).withColumn("url", U.normalize(F.col("url"))).dropDuplicates(["url"])
     fetched = replay.fetch_allowed(claimed, answers, _robots(u)).filter(fetching.has_body(F.col("outcome"), F.octet_length("body")))
     docs = cut(extract.extract_pages(fetched.select("url_id", "host", "url", F.col("body").alias("html"))).drop("links"), "extracted")

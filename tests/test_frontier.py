@@ -87,3 +87,13 @@ def test_specs(spark):
     with pytest.raises(ValueError):
         specs.validate({"name": "x", "fields": [{"name": "a", "selector": "b", "selector_type": "regex"}]})
     assert specs.validate({"name": "x", "fields": []})["version"] == 1
+
+
+def test_crawl_round_takes_every_due_domain(spark, monkeypatch):
+    from spindrift.plans import catalogue
+
+    n = 10_050  # one page a host, of which the last ones have words
+    made = spark.range(n).select((F.col("id") * 5 * 7 * 12 + 10).alias("page_id"), F.concat(F.lit("https://h"), F.col("id").cast("string"), F.lit(".example/")).alias("url"), F.when(F.col("id") >= n - 3, F.concat(F.lit("<main>only words of page "), F.col("id").cast("string"), F.lit("</main>"))).otherwise("").alias("html"))
+    monkeypatch.setattr(catalogue.T, "pages", lambda spark, d: made)
+    assert {r.url for r in catalogue.crawl_round(spark, "").collect()} <= {f"https://h{i}.example/" for i in range(n - 3, n)}
+    assert catalogue.crawl_round(spark, "").count() >= 1
