@@ -3,8 +3,8 @@
 Texts are cut into windows of WINDOW bytes of UTF-8, which cover them whole; the last one is padded. Each byte is a
 learned vector; filters of several widths slide over the window, each keeps its largest value, and a softmax layer turns
 these into probabilities. A text's are the means over its windows, weighted by their bytes. Training is plain numpy
-(Adam on cross-entropy) on a bounded sample: at most PER_LANGUAGE documents of each language, chosen by a hash of their
-ids, and PER_DOCUMENT windows of each, from places spread over the text. The weights are a few kB and go to every task.
+(Adam on cross-entropy) on a bounded sample: MOST_DOCUMENTS divided among all labelled languages, at most PER_LANGUAGE and
+at least one of each, chosen by a hash of their ids, and PER_DOCUMENT windows of each, from places spread over the text. The weights are a few kB and go to every task.
 
 Prediction reads the text alone. Documents whose crc32 of the id modulo 4 is 2 are held out of training (see op8).
 
@@ -33,7 +33,7 @@ VECTOR = 8
 #: Bounds of the training sample, and its use.
 PER_LANGUAGE = 400
 PER_DOCUMENT = 3
-MOST_LANGUAGES = 64
+MOST_DOCUMENTS = 25_600
 EPOCHS = 8
 BATCH = 64
 SEED = 7
@@ -139,18 +139,24 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_l
     """Windows of at most per_language documents of each language, as (language, bytes), in a fixed order.
 
     Languages are counted first; a document is drawn if a hash of its id is under its language's share, so no language
-    gathers in one task and only what is drawn reaches the driver.
+    gathers in one task and only what is drawn reaches the driver. One of which nothing was drawn gives its first by hash.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, n in counts:
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1_000_000, int(1.5 * per_language / n * 1_000_000) + 1))).otherwise(share)
+    per_language = max(1, min(per_language, MOST_DOCUMENTS // len(counts)))
+    shares = [(lang, min(1_000_000, int(1.5 * per_language / n * 1_000_000) + 1)) for lang, n in counts]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "_lang string, _share int"))
     spots = F.transform(F.sequence(F.lit(0), F.lit(PER_DOCUMENT - 1)), lambda i: F.substring(F.col(text_col), (F.length(text_col) * i / PER_DOCUMENT).cast("int") + 1, F.lit(WINDOW)))
-    drawn = rows.filter(draw < share).select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(12)).alias("h"), F.array_distinct(spots).alias("s")).collect()
+    shown = [F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(12)).alias("h"), F.array_distinct(spots).alias("s")]
+    drawn = rows.join(shares, F.col(lang_col) == F.col("_lang")).filter(draw < F.col("_share")).select(*shown).collect()
+    missing = {lang for lang, _ in counts} - {r[0] for r in drawn}
+    if missing:
+        left = F.broadcast(labelled.sparkSession.createDataFrame([(lang,) for lang in missing], "_lang string"))
+        first = rows.join(left, F.col(lang_col) == F.col("_lang"), "left_semi").select(*shown).filter("size(array_remove(s, '')) > 0")
+        drawn += first.groupBy("l").agg(F.min(F.struct("h", "s")).alias("f")).select("l", "f.*").collect()
     out, taken = [], {}
     for lang, _, parts in sorted(drawn, key=lambda r: (r[0], r[1], r[2])):
         if taken.get(lang, 0) < per_language:
@@ -164,8 +170,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not drawn:
         return None
     languages = sorted({lang for lang, _ in drawn})
+    number = {lang: i for i, lang in enumerate(languages)}
     windows = np.concatenate([cut_windows(data)[0] for _, data in drawn])
-    return train(windows, np.array([languages.index(lang) for lang, _ in drawn]), languages)
+    return train(windows, np.array([number[lang] for lang, _ in drawn]), languages)
 
 
 def has_letter(text: str) -> bool:

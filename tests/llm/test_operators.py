@@ -316,3 +316,15 @@ def test_hot_join(spark):
     got = {(r.i, r.k, r.n) for r in hot_join(left, right, ["k"], "n", share=10).collect()}
     n = {r.k: r.n for r in right.collect()}
     assert got == {(r.i, r.k, n.get(r.k)) for r in left.collect()}
+
+
+def test_every_labelled_language_is_sampled(spark, monkeypatch):
+    from spindrift.llm import op8_language as op8
+
+    rows = [(k * 100 + i, f"text {i} of language {k}", f"l{k:03}") for k in range(70) for i in range(3 if k else 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {f"l{k:03}" for k in range(70)}
+    assert {lang for lang, _ in op8.sample(df, "doc_id", "text", "lang")} == want
+    monkeypatch.setattr(op8, "MOST_DOCUMENTS", 10, raising=False)
+    few = op8.sample(df, "doc_id", "text", "lang")
+    assert {lang for lang, _ in few} == want and len(few) <= 70 * op8.PER_DOCUMENT
