@@ -63,3 +63,21 @@ def test_entry_works_without_the_subpackage(tmp_path):
         shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_near_copies_finds_isolated_pairs(spark):
+    import random
+
+    import corpus_pipeline as p
+    from spindrift.llm import op4_ngram_join as op4
+
+    rng, grams, rows, want = random.Random(9), op4.Grams(), [], set()
+    for k in range(4_000):
+        words = [f"{rng.getrandbits(32):x}" for _ in range(60)]
+        other = list(words)
+        other[rng.randrange(5, 55)] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = (set(grams(" ".join(w)).tolist()) for w in (words, other))
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    kept = p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(want) == 4_000 and {r.doc_id for r in kept} == want
