@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_live: dict[str, SparkSession] = {}
+
 
 @cache
 def _own() -> str:
@@ -16,27 +19,48 @@ def _own() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a local folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own()
+    """spark.checkpoint.dir; where it is unset and all tasks run on this machine (tests), a local folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return given or _own()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by discard() or when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
+    _live[path] = spark
+    return path
+
+
+def made() -> list[str]:
+    """The paths that are not removed yet, the oldest first."""
+    return list(_live)
 
-    def remove() -> None:
+
+def discard(paths: Iterable[str]) -> None:
+    """Remove paths whose tables nothing reads any more."""
+    for path in paths:
+        spark = _live.pop(path, None)
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may have ended before  # noqa: BLE001
             pass
 
-    atexit.register(remove)
-    return path
 
+@atexit.register
+def _discard_all() -> None:
+    discard(made())
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back, and its path."""
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
+    return written(df, label)[0]
