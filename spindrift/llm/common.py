@@ -1,10 +1,18 @@
-"""What the training-data operators share: tables, Arrow passes and joins on hot keys."""
+"""What the training-data operators share: tables, Arrow passes, joins on hot keys and lookups that move no texts.
+
+An operator that adds columns of its own to a table of any columns packs that table's row into one struct column first
+(packed, numbered), so that its own names cannot meet the table's, and unpacks it at the end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +20,34 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import cut, scratch, shared_dir
 
-__all__ = ["SLICE_BYTES", "append", "cut", "hot_join", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["SLICE_BYTES", "Files", "append", "attach", "cut", "hot_join", "name", "numbered", "packed", "scratch", "shared_dir", "slices", "table"]
 
 #: A batch is cut into slices of about this many bytes before Python holds intermediate values for it.
 SLICE_BYTES = 8 << 20
+#: monotonically_increasing_id() has the writing task above this many bits.
+TASK_BITS = 33
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def name(c: str, of: str = "") -> Column:
+    """The column of exactly this name, whatever characters it has; with `of`, a field of that struct."""
+    quoted = "`" + c.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's rows as one struct column, `row`."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """at, row: df's rows as structs with a number each, which holds only where the result is written once (cut)."""
+    return df.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes; one row can be larger."""
     for b in batches:
@@ -31,50 +57,135 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             yield b.slice(i, step)
 
 
-def append(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list]], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+def append(df: DataFrame, inputs: list[str | tuple[str, str]], fields: list[T.StructField], make: Callable[[], Callable[..., list]], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """df's columns (or `keep` of them) followed by `fields`, computed a slice of Arrow rows at a time without a shuffle.
 
     make() runs once in each task and returns fn(*input arrays) -> a list of value lists or Arrow arrays, one for each
-    field. An input column named as a field is replaced by it.
+    field. An input is a column, or a (struct column, field). An input column named as a field is replaced by it.
     """
-    names = {f.name for f in fields}
-    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    carried = list(dict.fromkeys([*keep, *inputs]))
-    source = df.select(*[F.col(f"`{c}`") for c in carried])
-    out = T.StructType([*[source.schema[c] for c in keep], *fields])
-    schema = to_arrow_schema(out)
+    names = {f.name.lower() for f in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    carried = list(dict.fromkeys([*keep, *[i if isinstance(i, str) else i[0] for i in inputs]]))
+    # mapInArrow reads column names as expressions, so columns go there under plain names.
+    source = df.select(*[name(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    out = T.StructType([*[T.StructField(c, f.dataType, f.nullable, f.metadata) for c, f in zip(keep, source.schema, strict=False)], *fields])
+    made_schema = to_arrow_schema(T.StructType(fields))
     nk = len(keep)
 
+    def column(b: pa.RecordBatch, i: str | tuple[str, str]) -> pa.Array:
+        return b.column(carried.index(i)) if isinstance(i, str) else pc.struct_field(b.column(carried.index(i[0])), i[1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in slices(batches, most):
-            made = fn(*[b.column(carried.index(c)) for c in inputs])
-            cols = [b.column(i).cast(schema.field(i).type) for i in range(nk)]
-            cols += [v.cast(schema.field(nk + i).type) if isinstance(v, pa.Array) else pa.array(v, schema.field(nk + i).type) for i, v in enumerate(made)]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            made = fn(*[column(b, i) for i in inputs])
+            made = [v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(made, made_schema, strict=True)]
+            schema = pa.schema([*[b.schema.field(i).with_name(c) for i, c in enumerate(keep)], *made_schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:nk], *made], schema=schema)
 
     return source.mapInArrow(run, out)
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = 1000, how: str = "left") -> DataFrame:
-    """left joined to right, which has one row a key and the number of left's rows with that key in column `rows`.
+class Files:
+    """A folder that driver and executors share, by any of Arrow's file systems."""
+
+    def __init__(self, folder: str) -> None:
+        from pyarrow import fs
+
+        self.fs, self.path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+    def write(self, name: str, data: Iterable[bytes]) -> None:
+        """Write under a temporary name, then move: a reader never sees half a file."""
+        self.fs.create_dir(self.path, recursive=True)
+        part = f"{self.path}/.{name}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            for x in data:
+                f.write(x)
+        self.fs.move(part, f"{self.path}/{name}")
+
+    def open(self, name: str) -> pa.NativeFile:
+        return self.fs.open_input_file(f"{self.path}/{name}")
+
+    def rows(self, folder: str) -> pa.Table | None:
+        """The rows of all Parquet files in a folder; None if there is none."""
+        from pyarrow import fs
+
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/{folder}", allow_not_found=True))
+        parts = []
+        for x in sorted(found, key=lambda i: i.path):
+            if x.path.endswith(".parquet"):
+                with self.fs.open_input_file(x.path) as f:
+                    parts.append(pq.ParquetFile(f).read())
+        return pa.concat_tables(parts) if parts else None
+
+
+def attach(rows: DataFrame, side: DataFrame, only: bool = False) -> DataFrame:
+    """rows (at, ... of a written numbered table) with the other columns of side, which has at most one row an `at`; with
+    `only`, without the rows that side lacks.
+
+    Rows stay where they are. side, which is narrow, is written as a folder for each task that wrote the numbered table; a
+    task that reads some of that one's rows loads its folder, which holds no more rows than that task wrote.
+    """
+    folder = scratch(rows.sparkSession, "side")
+    dealt = side.withColumn("task", F.shiftright("at", TASK_BITS).cast("int"))
+    dealt.repartition("task").sortWithinPartitions("task", "at").write.partitionBy("task").option("compression", "zstd").parquet(folder)
+    added = [f for f in side.schema.fields if f.name != "at"]
+    out = T.StructType([*rows.schema.fields, *added])
+    place = rows.columns.index("at")
+    schema = to_arrow_schema(T.StructType(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, task, known, values = Files(folder), None, np.empty(0, np.int64), []
+        for b in batches:
+            at = b.column(place).to_numpy()
+            tasks = at >> TASK_BITS
+            edges = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(at)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if tasks[i] != task:
+                    task = tasks[i]
+                    found = files.rows(f"task={task}")
+                    found = found.sort_by("at") if found is not None else None
+                    known = found.column("at").to_numpy() if found is not None else np.empty(0, np.int64)
+                    values = [found.column(f.name).combine_chunks().cast(f.type) if found is not None else pa.nulls(0, f.type) for f in schema]
+                part, mine = b.slice(i, j - i), at[i:j]
+                spot = np.searchsorted(known, mine)
+                hit = np.zeros(len(mine), bool)
+                inside = spot < len(known)
+                hit[inside] = known[spot[inside]] == mine[inside]
+                if only:
+                    part, spot, hit = part.filter(pa.array(hit)), spot[hit], hit[hit]
+                if part.num_rows:
+                    cols = [v.take(pa.array(spot, mask=~hit)) for v in values]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema=pa.schema([*part.schema, *schema]))
+
+    return rows.mapInArrow(run, out)
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = 1000) -> DataFrame:
+    """left with the other columns of right, which has one row a key and the number of left's rows with it in column `rows`.
 
     Keys with more than 1/share of all rows number less than `share`, so that part of right is broadcast with a proven
     bound and left's hot rows stay where they are; all other keys meet in a shuffle, where none has over 1/share of the
-    rows. Null keys match null keys. Both sides are read more than once: they should be tables or cheap to make.
+    rows. Null keys match null keys; a key that right lacks gets nulls. Both sides are read more than once: they should be
+    tables. Any names may meet but those that both sides give.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) > max(total // share, 1)
-    names = [c for c in right.columns if c not in keys]
-    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*names).alias("_v"), hot.alias("_hot"))
-    on = lambda side: _all([F.col(k).eqNullSafe(F.col(f"{side}{i}")) for i, k in enumerate(keys)])
-    warm = F.broadcast(r.filter("_hot").select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(keys))], F.col("_v").alias("_hv")))
-    cool = r.filter("not _hot").select(*[F.col(f"_k{i}").alias(f"_c{i}") for i in range(len(keys))], F.col("_v").alias("_cv"))
-    first = left.join(warm, on("_h"), "left")
-    if how == "left" and right.filter(~hot).isEmpty():  # then one pass over left is enough
-        return first.select(*left.columns, "_hv.*")
-    done = first.filter("_hv is not null").select(*left.columns, "_hv.*")
-    rest = first.filter("_hv is null").select(*left.columns).join(cool, on("_c"), how).select(*left.columns, "_cv.*")
+    total, least, most = right.agg(F.sum(name(rows)), F.min(name(rows)), F.max(name(rows))).first()
+    limit = max((total or 0) // share, 1)
+    hot = F.col("n") > limit
+    n = len(keys)
+    lefts = left.select(F.struct("*").alias("row"), *[name(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    values = F.struct(*[name(c) for c in right.columns if c not in keys])
+    rights = right.select(*[name(k).alias(f"r{i}") for i, k in enumerate(keys)], values.alias("v"), name(rows).alias("n"))
+    on = _all([F.col(f"k{i}").eqNullSafe(F.col(f"r{i}")) for i in range(n)])
+    if most is None or most <= limit:  # no hot keys
+        return lefts.join(rights.drop("n"), on, "left").select("row.*", "v.*")
+    first = lefts.join(F.broadcast(rights.filter(hot)).drop("n"), on, "left").select("row", *[f"k{i}" for i in range(n)], "v")
+    if least > limit:  # no others: one pass over left is enough
+        return first.select("row.*", "v.*")
+    done = first.filter("v is not null").select("row.*", "v.*")
+    rest = first.filter("v is null").drop("v").join(rights.filter(~hot).drop("n"), on, "left").select("row.*", "v.*")
     return done.unionByName(rest)
 
 

@@ -15,14 +15,18 @@ digits and underscores in lower case; a text of one to four words has one gram o
    become rows. A verified pair need not have been a candidate itself.
 5. A class is a connected component of verified links; its id is the smallest document id in it.
 
-Large buckets and groups are cut into blocks of members by a hash, and each two blocks are compared by a task of their
-own: no task holds more than two blocks, nothing is capped, and what does not fit one group task is joined by components()
-again. Rows carry set keys instead of document ids, so copies, null ids and repeated rows cost nothing; exact copies are
-joined back with hot keys spread (hot_join).
+Large buckets and groups are cut into blocks of members by a hash, and each two blocks are compared on their own: no task
+holds more than two blocks, nothing is capped, and what does not fit one block is joined by components() again. A block
+of a group holds about GROUP_BLOCK members and GROUP_BYTES of their sets; a group of n blocks sends each set n times, so
+the bytes moved for one group of different near copies grow with the square of its size over that of a block.
+
+Texts are read once and written once, beside their signatures, with a number for each row. From then on rows are numbers
+and set keys: copies, null ids and repeated rows cost nothing, copies are joined back with hot keys spread (hot_join), and
+members' texts, as well as the rows that stay, are picked where they lie (attach), so no text is ever shuffled.
 
 Defined results: a null text, or one without words, is in a class of its own id without links; equal texts are linked
 with each other; documents with null ids take part, and a class of such alone has a null id; rows repeated with one id
-count as copies; an empty table gives no rows.
+count as copies; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append, cut, hot_join, table
+from .common import append, attach, cut, hot_join, name, numbered, table
 from .components import components
 
 GRAM = 5
@@ -49,9 +53,10 @@ BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-#: Members of a block of a bucket, and of a group.
+#: Members of a block of a bucket, and of a group, and bytes of the sets of the latter.
 BUCKET_BLOCK = 1_024
-GROUP_BLOCK = 256
+GROUP_BLOCK = 1_024
+GROUP_BYTES = 8 << 20
 #: Words whose hashes a task keeps; beyond, it starts anew. Only speed depends on it.
 KEPT_WORDS = 300_000
 
@@ -270,95 +275,124 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], likeness: float = LIKENES
 LINK = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("peer", T.BinaryType()), T.StructField("links", T.LongType())])
 
 
-def linked(sets: list[np.ndarray], likeness: float = LIKENESS) -> np.ndarray:
-    """Matrix of which pairs of sets are at least so alike, exactly."""
-    m = len(sets)
+def common_grams(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Matrix of the number of common grams of each of a with each of b (None: of a as well), by products of 0/1 matrices."""
+    sets = a if b is None else [*a, *b]
     size = np.array([len(x) for x in sets], np.int64)
-    if m <= 6:
-        common = np.zeros((m, m), np.int64)
-        for a in range(m):
-            for b in range(a + 1, m):
-                if min(size[a], size[b]) >= likeness * max(size[a], size[b]) - 1e-9:
-                    common[a, b] = common[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    if b is None:
+        both = times > 1
+    else:
+        left = np.bincount(at[owner < len(a)], minlength=len(times))
+        both = (left > 0) & (left < times)
+    shared = both[at]
+    column, owner = (np.cumsum(both) - 1)[at[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(a), len(sets if b is None else b)), np.float32)  # whole numbers under 2**24
+    n, width = int(both.sum()), 4096
+    for lo in range(0, n, width):
+        x, y = np.searchsorted(column, [lo, lo + width])
+        held = np.zeros((len(sets), min(width, n - lo)), np.float32)
+        held[owner[x:y], column[x:y] - lo] = 1
+        out += held @ held.T if b is None else held[: len(a)] @ held[len(a) :].T
+    return out
+
+
+def linked(a: list[np.ndarray], likeness: float = LIKENESS, b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Matrix of which sets of a are at least so alike with which of b (None: of a, but not with themselves), exactly."""
+    x, y = (np.array([len(s) for s in side], np.int64) for side in (a, a if b is None else b))
+    if b is None and len(a) <= 6:
+        common = np.zeros((len(a), len(a)), np.int64)
+        for i in range(len(a)):
+            for j in range(i + 1, len(a)):
+                if min(x[i], x[j]) >= likeness * max(x[i], x[j]) - 1e-9:
+                    common[i, j] = common[j, i] = len(np.intersect1d(a[i], a[j], assume_unique=True))
     else:
-        grams, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(m), size)
-        shared = times[at] > 1
-        column = (np.cumsum(times > 1) - 1)[at[shared]]
-        owner = owner[shared]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        common = np.zeros((m, m), np.float64)
-        width = 4096
-        n = int(column[-1]) + 1 if len(column) else 0
-        for lo in range(0, n, width):
-            x, y = np.searchsorted(column, [lo, lo + width])
-            held = np.zeros((m, min(width, n - lo)), np.float32)
-            held[owner[x:y], column[x:y] - lo] = 1
-            common += held @ held.T
-    out = common >= likeness * (size[:, None] + size[None, :] - common) - 1e-9
-    np.fill_diagonal(out, False)
+        common = common_grams(a, b).astype(np.int64)
+    out = common >= likeness * (x[:, None] + y[None, :] - common) - 1e-9
+    if b is None:
+        np.fill_diagonal(out, False)
     return out
 
 
 def verified(batches: Iterator[pa.RecordBatch], likeness: float = LIKENESS) -> Iterator[pa.RecordBatch]:
-    """Links of groups: rows root, i, j, blocks, side, key, copies, grams, sorted by group and pair of blocks.
+    """Links of groups: rows root, i, j, side, key, copies, grams, sorted by group and pair of blocks.
 
     A member's row has its number of links in this pair of blocks, each counted once for each copy of the other, and a
     peer that it is joined to: of a group in one block the class's root, else of a forest of this pair of blocks.
     """
     schema = to_arrow_schema(LINK)
     for (_, i, j), rows in groups(batches, 3):
-        rows = list({r[2]: r for r in rows}.values())  # rows repeated with one id
-        links = linked([np.frombuffer(r[4], np.uint64) for r in rows], likeness)
-        if i != j:
-            side = np.array([r[1] for r in rows])
-            links &= side[:, None] != side[None, :]
-        counts = links @ np.array([r[3] for r in rows], np.int64)
+        rows.sort(key=lambda r: r[0] != i)  # the first block's members, then the second's
+        keys, sets = [r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows]
+        copies = np.array([r[2] for r in rows], np.float64)  # sums of these are exact below 2**53
+        m = len(rows) if i == j else sum(r[0] == i for r in rows)
         forest = Forest(len(rows))
-        for a in range(len(rows)):
-            for b in np.nonzero(links[a, a + 1 :])[0]:
-                forest.join(a, int(a + 1 + b)) if forest.up[a + 1 + b] != forest.up[a] else None
+        if i == j:
+            links = linked(sets, likeness)
+            counts = links @ copies
+        elif 0 < m < len(rows):
+            links = linked(sets[:m], likeness, sets[m:])
+            counts = np.concatenate([links @ copies[m:], links.T @ copies[:m]])
+        else:  # one of the blocks has no members
+            links, counts = np.zeros((0, 0), bool), np.zeros(len(rows))
+        for a in range(len(links)):
+            near = np.nonzero(links[a, a + 1 :])[0] + a + 1 if i == j else np.nonzero(links[a])[0] + m
+            for x in near[np.unique(forest.up[near], return_index=True)[1]]:
+                forest.join(a, int(x))
         roots = forest.roots()
-        yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.binary()), pa.array([rows[x][2] for x in roots], pa.binary()), pa.array(counts, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([keys[x] for x in roots], pa.binary()), pa.array(np.rint(counts).astype(np.int64))], schema=schema)
 
 
-def _blocks(df: DataFrame, size: str, block: int, key: str) -> DataFrame:
-    """df with a row for each pair of blocks (i, j) that a member takes part in: `size` members are cut into blocks by a hash."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
-    each = df.withColumn("blocks", blocks).withColumn("side", own)
+def _blocks(df: DataFrame, blocks: Column, key: str) -> DataFrame:
+    """df with a row for each pair of blocks (i, j) that a member takes part in, of so many blocks that a hash deals them to."""
+    each = df.withColumn("blocks", blocks.cast("int")).withColumn("side", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
+    return each.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks")
 
 
-def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
-    """doc_id, text_hash, root (the class's key, null without words), class_id, n_links of every row of df."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    seen = cut(append(docs, ["text"], _SIGNED, _signer, keep=["doc_id", "text_hash"]), "signed")
-    empty = seen.filter("key is null").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    copies = seen.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    members = cut(copies.select("key", F.col("w.doc_id").alias("first_id"), F.col("w.text_hash").alias("first_hash"), "copies", "sig", "bands"), "members")
+def _signed(df: DataFrame, text_col: str) -> DataFrame:
+    """df's rows, numbered, with the keys and signatures of their texts: written once."""
+    return cut(append(numbered(df), [("row", text_col)], _SIGNED, _signer), "signed")
+
+
+def _members(seen: DataFrame) -> DataFrame:
+    """One row a set: its key, the row that stands for it (the smallest id's), its copies and its signature."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("w")
+    each = seen.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("sig", "bands", "n_grams")])
+    return cut(each.select("key", F.col("w.at").alias("at"), F.col("w.id").alias("first_id"), "copies", "sig", "bands", "n_grams"), "members")
+
 
+def _groups(members: DataFrame, likeness: float) -> DataFrame:
+    """node, root: the members that any bucket's candidate pairs join."""
     buckets = members.select("key", F.explode("bands").alias("band"))
     full = buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = buckets.join(full, "band")
-    met = shared.join(members.select("key", "sig"), "key")
-    dealt = _blocks(met, "size", BUCKET_BLOCK, "key").select("band", "i", "j", "side", "key", "sig")
+    met = buckets.join(full, "band").join(members.select("key", "sig"), "key")
+    dealt = _blocks(met, F.ceil(F.col("size") / BUCKET_BLOCK), "key").select("band", "i", "j", "side", "key", "sig")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    edges = dealt.mapInArrow(lambda batches: candidate_edges(batches, likeness), EDGE)
-    found = components(edges, "u", "v")
-
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    placed = found.join(sizes, "root").select(F.col("node").alias("key"), "root", "size")
-    placed = placed.join(members.select("key", "first_id", "first_hash", "copies"), "key")
-    # By text as well, so that members under null ids or one repeated id meet rows of their own text alone.
-    texts = placed.join(docs, placed.first_id.eqNullSafe(docs.doc_id) & (placed.first_hash == docs.text_hash)).select("root", "size", "key", "copies", "text")
-    grams = append(texts, ["text", "key"], [T.StructField("grams", T.BinaryType())], _regrammer, keep=["root", "size", "key", "copies"]).filter("grams is not null")
-    dealt = _blocks(grams, "size", GROUP_BLOCK, "key").select("root", "i", "j", "blocks", "side", "key", "copies", "grams")
+    return components(dealt.mapInArrow(lambda batches: candidate_edges(batches, likeness), EDGE), "u", "v")
+
+
+def _links(signed: DataFrame, members: DataFrame, found: DataFrame, text_col: str, likeness: float) -> DataFrame:
+    """key, peer, links of every two blocks of every group (verified)."""
+    placed = cut(found.withColumnRenamed("node", "key").join(members.select("key", "at", "copies", "n_grams"), "key"), "placed")
+    n_blocks = F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(8 * F.sum("n_grams") / GROUP_BYTES))
+    sizes = cut(placed.groupBy("root").agg(n_blocks.alias("n_blocks"), F.count("*").alias("size")), "sizes")
+    side = hot_join(placed, sizes, ["root"], "size").select("at", "root", "n_blocks", "key", "copies")
+    texts = attach(signed.select("at", name(text_col, "row").alias("text")), side, only=True)
+    grams = append(texts, ["text"], [T.StructField("grams", T.BinaryType())], _regrammer, keep=["root", "n_blocks", "key", "copies"])
+    dealt = _blocks(grams, F.col("n_blocks"), "key").select("root", "i", "j", "side", "key", "copies", "grams")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = cut(dealt.mapInArrow(lambda batches: verified(batches, likeness), LINK), "links")
+    return cut(dealt.mapInArrow(lambda batches: verified(batches, likeness), LINK), "links")
 
+
+def _joined(signed: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
+    """at, id, hash, root (the class's key, null without words), class_id, n_links of every signed row."""
+    seen = signed.select("at", name(id_col, "row").alias("id"), "hash", "key", "sig", "bands", "n_grams")
+    members = _members(seen)
+    links = _links(signed, members, _groups(members, likeness), text_col, likeness)
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.count("*").alias("n"), F.min("peer").alias("peer"))
     # A member with one row was in a group of one block, and its peer is its class's root; the others are joined again.
     wide = links.join(counts.filter("n > 1").select("key"), "key", "left_semi")
@@ -366,28 +400,33 @@ def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     classes = counts.join(again, "key", "left").select("key", "links", F.coalesce("root", F.when(F.col("n") == 1, F.col("peer")).otherwise(F.col("key"))).alias("root"))
     classes = members.select("key", "first_id", "copies").join(classes, "key", "left")
     classes = cut(classes.select("key", "first_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "classes")
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = cut(classes.join(ids, "root").select("key", "copies", "root", "class_id", "n_links"), "named")
-    rest = hot_join(seen.filter("key is not null").select("doc_id", "text_hash", "key"), named, ["key"], "copies")
-    return rest.select("doc_id", "text_hash", "root", "class_id", "n_links").unionByName(empty)
+    ids = cut(classes.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")), "ids")
+    named = cut(hot_join(classes, ids, ["root"], "n").select("key", "copies", "root", "class_id", "n_links"), "named")
+    rest = hot_join(seen.filter("key is not null").select("at", "id", "hash", "key"), named, ["key"], "copies")
+    empty = seen.filter("key is null").select("at", "id", "hash", F.lit(None).cast("binary").alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return rest.select("at", "id", "hash", "root", "class_id", "n_links").unionByName(empty)
+
+
+def memberships(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
+    """doc_id, root (the class's key, null without words), class_id, n_links of every row of df."""
+    rows = _joined(_signed(df.select(name(id_col), name(text_col)), text_col), id_col, text_col, likeness)
+    return rows.select(F.col("id").alias("doc_id"), "root", "class_id", "n_links")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
     """df's rows but for near copies: of each class the row with the smallest id (nulls last) stays, once.
 
-    Rows without words are copies of nothing; they stay, rows repeated with one id once.
+    Rows without words are copies of nothing; they stay, rows repeated with one id and text once.
     """
-    rows = cut(memberships(df, id_col, text_col, likeness).select("doc_id", "text_hash", "root"), "rows")
-    best = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
-    kept = best.select("w.doc_id", "w.text_hash").unionByName(rows.filter("root is null").select("doc_id", "text_hash")).groupBy("doc_id", "text_hash").count()
-    kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
-    out = df.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_hash")), "left_semi")
-    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return out
-    return out.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+    signed = _signed(df, text_col)
+    rows = cut(_joined(signed, id_col, text_col, likeness).select("at", "id", "hash", "root"), "rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("w")
+    best = rows.filter("root is not null").groupBy("root").agg(first).select("w.at")
+    kept = best.unionByName(rows.filter("root is null").groupBy("id", "hash").agg(F.min("at").alias("at")).select("at"))
+    return attach(signed.select("at", "row"), kept, only=True).select("row.*")
 
 
-_SIGNED = [T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+_SIGNED = [T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n_grams", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
 
 def _signer() -> Callable[[pa.Array], list]:
@@ -398,23 +437,31 @@ def _signer() -> Callable[[pa.Array], list]:
         for t in texts.to_pylist():
             g = grams(t or "")
             v = signature(g) if len(g) else None
-            out.append((set_key(g), None if v is None else short(v), None if v is None else band_keys(v).tolist()))
-        return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+            whole = None if t is None else int.from_bytes(xxhash.xxh3_64_digest(t), signed=True)
+            out.append((whole, set_key(g), len(g), None if v is None else short(v), None if v is None else band_keys(v).tolist()))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in _SIGNED]
 
     return run
 
 
-def _regrammer() -> Callable[[pa.Array, pa.Array], list]:
-    """The gram sets of texts; null where a row repeats an id with another text than the set's."""
+def _regrammer() -> Callable[[pa.Array], list]:
+    """The gram sets of texts."""
     grams = Grams()
-
-    def run(texts: pa.Array, keys: pa.Array) -> list:
-        made = [grams(t or "") for t in texts.to_pylist()]
-        return [[g.tobytes() if set_key(g) == k else None for g, k in zip(made, keys.to_pylist(), strict=True)]]
-
-    return run
+    return lambda texts: [[grams(t or "").tobytes() for t in texts.to_pylist()]]
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
     return memberships(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), {GRAM}) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {GRAM - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {LIKENESS} * (x.n + y.n - c) - 1e-9),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.doc_id),
+class AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM class LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) USING (doc_id)"""

@@ -26,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_warc": op3.ORACLE_SQL,
+    "op4_ngram_join": op4.ORACLE_SQL,
     "op6_chat_formatting": op6.ORACLE_SQL,
     "op7_decontamination": op7.ORACLE_SQL,
     "op9_url_filters": op9.ORACLE_SQL,

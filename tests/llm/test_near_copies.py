@@ -64,6 +64,13 @@ def test_join_matches_all_pairs(spark, monkeypatch, block):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)[0]
 
 
+def test_blocks_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op4, "GROUP_BYTES", 2_000)
+    rows = make_texts()
+    got = op4.memberships(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows)[0]
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_members_of_one_id_meet_their_own_texts(spark, monkeypatch, doc_id):
     base = [f"w{i}" for i in range(200)]
@@ -74,9 +81,9 @@ def test_members_of_one_id_meet_their_own_texts(spark, monkeypatch, doc_id):
     def counted():
         run = make()
 
-        def count(texts, keys):
+        def count(texts):
             met.add(len(texts))
-            return run(texts, keys)
+            return run(texts)
 
         return count
 
@@ -86,14 +93,21 @@ def test_members_of_one_id_meet_their_own_texts(spark, monkeypatch, doc_id):
     assert met.value == len(texts)
 
 
-def test_one_of_each(spark):
+CLASHES = ["keep", "score", "n_items", "_n", "_items", "_id", "_hash", "_v", "at", "row", "key", "hash", "task", "lang_pred", "p_text", "words", "a.b"]
+
+
+def test_one_of_each(spark, moved):
     rows = make_texts()
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
-    kept = op4.one_of_each(df).collect()
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASHES]) for i, r in enumerate(rows)], schema)
+    kept = []
+    # Neither texts nor rows travel.
+    assert not moved(lambda: kept.extend(op4.one_of_each(df).collect())) & {"text", "row", *CLASHES} - {"key", "at", "hash", "task"}
     _, classes, sets = brute(rows)
     with_words = [v for v in classes.values() if sets[v[0]]]
     want = [min((rows[i][0] for i in v if rows[i][0] is not None), default=None) for v in with_words] + [None, 1001, 1002]
     assert sorted(map(repr, (r.doc_id for r in kept))) == sorted(map(repr, want))
+    assert all(tuple(r) in {(*x, *[f"{c}{i}" for c in CLASHES]) for i, x in enumerate(rows)} for r in kept) and kept[0].__fields__ == df.columns
     assert op4.one_of_each(df.limit(0)).collect() == [] and op4.memberships(df.limit(0)).collect() == []
 
 
@@ -104,6 +118,7 @@ def test_likeness_at_the_threshold():
     many = [np.arange(i, i + 90, dtype=np.uint64) for i in range(12)]
     few = np.array([[i != j and abs(i - j) <= 10 for j in range(12)] for i in range(12)])
     assert (op4.linked(many) == few).all()
+    assert (op4.linked(many[:5], b=many[5:]) == few[:5, 5:]).all() and (op4.linked(many[:1], b=many[1:]) == few[:1, 1:]).all()
 
 
 def test_pruning_keeps_what_can_reach_the_threshold():
@@ -118,9 +133,9 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 
 def test_pairs_that_meet_in_any_bucket_are_linked():
     rng = np.random.default_rng(5)
-    n = 4_000
+    n = 20_000
     u = rng.integers(0, 2**63, (n, op4.VALUES), np.uint64)
-    v = np.where(rng.random((n, op4.VALUES)) < rng.uniform(0.8, 0.9, (n, 1)), u, rng.integers(0, 2**63, u.shape, np.uint64))
+    v = np.where(rng.random((n, op4.VALUES)) < rng.uniform(0.8, 0.95, (n, 1)), u, rng.integers(0, 2**63, u.shape, np.uint64))
     rows, want = [], set()
     for k, pair in enumerate(zip(u, v, strict=True)):
         keys = [k.to_bytes(4) + bytes([side]) for side in (0, 1)]
