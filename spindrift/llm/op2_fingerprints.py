@@ -10,13 +10,16 @@ estimate of the Jaccard likeness of the phrase sets).
 A text and an edit of it that begins alike share the parse of the common beginning: the edited text's parse goes on from
 the dictionary at that place, so that each text is parsed once and half of it once more.
 
-The neighbour of a document is the next in descending id. Ids are cut into ranges by their quantiles; a range is one
-partition, sorted, and streamed with one row of look-ahead. The first row of the next range is sent along as an extra
-row of the one before it, so texts move once, and a row's neighbour needs no join. Memory holds two texts.
+The neighbour of a document is the next in descending id, of equal ids in descending hash of the text. This order is cut
+into ranges, at places that a bounded sample of its keys gives; a range is one partition, sorted, and streamed with one
+row of look-ahead. The first row of the next range is sent along as an extra row of the one before it, so texts move once,
+and a row's neighbour needs no join. Memory holds two texts. An id, or null, that a third of all rows have is cut by the
+hash; only rows alike in id and text stay together.
 
 Defined results: null texts are empty; a text without phrases has an empty fingerprint, and two of these are alike (1),
-one and another are not (0). Null ids come last; equal ids are ordered by text; repeated rows are neighbours of each
-other; a single document is its own neighbour; an empty table gives no rows.
+one and another are not (0). Null ids come last; equal ids are ordered by their text's xxhash64, then by text; repeated
+rows are neighbours of each other; a single document is its own neighbour; an empty table gives no rows; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, table
+from .common import cut, name, slices, table
 
 #: Values in a fingerprint, 32 bits each.
 SIZE = 128
-#: Documents in a range of ids, about, up to MOST_RANGES ranges; with more documents, ranges grow.
+#: Documents in a range, about, up to MOST_RANGES ranges (whose cuts go to every task); with more documents, ranges grow.
 RANGE_ROWS = 2_000
-MOST_RANGES = 10_000
+MOST_RANGES = 100_000
+#: Sampled keys for each range.
+SAMPLED = 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -158,38 +163,60 @@ OUT = T.StructType(
 )
 
 
+def sort_keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """17 bytes each that sort as (id, hash) do, null ids first."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = known
+    for i, v in ((1, ids), (9, hashes)):
+        out[:, i : i + 8] = (v.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def cuts_of(keys: DataFrame, range_rows: int) -> np.ndarray:
+    """Sort keys that cut the rows of keys (known, id, h) into ranges, from a sample of about SAMPLED keys a range."""
+    n = keys.count()
+    k = min(MOST_RANGES, -(-n // range_rows))
+    if k < 2:
+        return np.empty(0, "S17")
+    drawn = keys.filter(F.pmod(F.xxhash64("known", "id", "h"), F.lit(max(1, n // (SAMPLED * k)))) == 0)
+    got = drawn.groupBy("known", "id", "h").count().toArrow()
+    order = sort_keys(*[got.column(c).to_numpy() for c in ("known", "id", "h")])
+    by = np.argsort(order)
+    order, below = order[by], np.cumsum(got.column("count").to_numpy()[by])
+    if not len(order):
+        return order
+    return np.unique(order[np.minimum(np.searchsorted(below, below[-1] * np.arange(1, k) / k), len(order) - 1)])
+
+
 def with_neighbour_rows(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, text, part, extra: ranges of ids in descending order, each followed by the first row of the next range.
+    """doc_id, text, h, part, extra: ranges of rows in descending order, each followed by the first row of the next range.
 
     `part` counts ranges from the largest ids on. A null id is below all others. The last range is followed by the first
-    row of all. Rows with equal ids are in one range; so is a third of all rows if they share an id.
+    row of all.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    k = min(MOST_RANGES, -(-n // range_rows))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
-    # Ranges are found by a search in the sorted cuts, as many as there are partitions.
-    place = F.lit(0)
-    if cuts:
-        at = df.sparkSession.sparkContext.broadcast([int(c) for c in cuts])
-
-        @F.pandas_udf("int")
-        def above(ids):  # noqa: ANN001, ANN202
-            return ids.__class__(np.searchsorted(np.asarray(at.value), ids.fillna(-(2**63)).to_numpy(np.int64), side="right"))
-
-        place = F.coalesce(above(F.col("doc_id")), F.lit(0))
-    ranged = rows.withColumn("part", len(cuts) - place)
+    rows = df.select(name(id_col).cast("long").alias("doc_id"), F.coalesce(name(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    place = [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"]
+    keys = cut(rows.select(*place), "keys")
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast(cuts_of(keys, range_rows))
+
+    @F.pandas_udf("int")
+    def part_of(known, ids, hashes):  # noqa: ANN001, ANN202
+        at = np.searchsorted(held.value, sort_keys(known.to_numpy(bool), ids.to_numpy(), hashes.to_numpy()), side="right")
+        return ids.__class__(len(held.value) - at)
+
     # Each range goes on with the first row of the next one that has rows. There are at most MOST_RANGES.
-    tops = dict(ranged.groupBy("part").agg(F.max(F.coalesce("doc_id", F.lit(-(2**63))))).collect())
+    first = F.max(F.struct("known", "id", "h")).alias("r")
+    tops = {r[0]: tuple(r[1:]) for r in keys.withColumn("part", part_of("known", "id", "h")).groupBy("part").agg(first).select("part", "r.*").collect()}
+    ranged = rows.withColumn("part", part_of(*[F.coalesce("doc_id", F.lit(0)) if c == "id" else F.col("doc_id").isNotNull() if c == "known" else F.col(c) for c in ("known", "id", "h")])).withColumn("extra", F.lit(False))
     if not tops:
-        return ranged.withColumn("extra", F.lit(False))
+        return ranged
     order = sorted(tops)
     follows = dict(zip(order[1:] + order[:1], order, strict=True))
-    spark = df.sparkSession
-    lead = spark.createDataFrame([(tops[p], follows[p]) for p in order], "top long, goes_to int")
-    extra = rows.withColumn("top", F.coalesce("doc_id", F.lit(-(2**63)))).join(F.broadcast(lead), "top")
-    one = extra.groupBy("goes_to").agg(F.max(F.struct("doc_id", "text")).alias("r"))
-    return ranged.withColumn("extra", F.lit(False)).unionByName(one.select("r.doc_id", "r.text", F.col("goes_to").alias("part"), F.lit(True).alias("extra")))
+    lead = spark.createDataFrame([(*tops[p], follows[p]) for p in order], "known boolean, id long, hash long, goes_to int")
+    on = (F.col("doc_id").isNotNull() == F.col("known")) & (F.coalesce("doc_id", F.lit(0)) == F.col("id")) & (F.col("h") == F.col("hash"))
+    one = rows.join(F.broadcast(lead), on).groupBy("goes_to").agg(F.max(F.struct("text", "doc_id", "h")).alias("r"))
+    return ranged.unionByName(one.select("r.doc_id", "r.text", "r.h", F.col("goes_to").alias("part"), F.lit(True).alias("extra")))
 
 
 def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -219,7 +246,7 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.clear()
 
     rows = with_neighbour_rows(df, id_col, text_col, range_rows)
-    dealt = rows.repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    dealt = rows.repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
     return dealt.select("part", "doc_id", "text", "extra").mapInArrow(run, OUT)
 
 
