@@ -6,11 +6,15 @@ and each neighbouring pair is what merging makes of the pair's. Each such pair s
 A piece that ends at a place needs only the best path to where it starts, as in any Viterbi search; exactly one piece
 survives at each place, and the backpointers from it are the tokens of the text so far.
 
-Later pieces reach back at most the longest piece's length, so only the paths from that many last places matter. When
-their backpointers meet at one boundary, the ids before it are final and leave the window: a text of any length needs
-memory for its window and its ids only. Words (see pieces.py) are cut where the paths always meet, and a task keeps the
-ids of the words it has seen in a bounded cache. Runs of two or more spaces, whose pieces all have one score, are merged
-one by one instead.
+Later pieces reach back at most the longest piece's length, so only the paths from that many last places matter. Every
+LOOK places, whatever ends there, it is looked where their backpointers meet; the ids before that boundary are final and
+leave the window. So a text of any length, without spaces or of unknown characters too, needs memory for its window of
+some hundred places and its ids only. Words (see pieces.py) are cut where the paths always meet, and a task keeps the ids
+of the short words it has seen in a cache bounded in bytes.
+
+Pieces of spaces alone all have one score, the lowest, so merging leaves them to the end and takes them from the left. What
+is in front of a word's own space is therefore cut into the longest such piece, as often as it fits, and what merging
+makes of the rest; the vocabulary is checked for this rule when it is read (spaces).
 
 Characters without a piece become their UTF-8 bytes' pieces. Decoding puts pieces together, spaces for `▁`, and takes
 the first space off. Equal texts get equal ids, those of the library without added tokens. One row in, one row out, no
@@ -75,6 +79,14 @@ class Lattice:
             self.ends.add_word(p, (len(p), i))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.widest = 0  # places of the widest window so far
+        runs = [p for p in self.score if set(p) == {SPACE}]
+        self.run = max(map(len, runs))
+        if self.run > 1 and ({self.score[p] for p in runs if len(p) > 1} != {min(self.score.values())} or any(p.startswith(SPACE * 2) and p not in runs for p in self.score)):
+            raise ValueError("pieces of spaces do not merge last")
+        self.rests = [[self.ids[p] for p in self.merge(SPACE * n)] for n in range(2 * self.run)]
+        if any([self.ids[p] for p in self.merge(SPACE * n)] != self.spaces(n) for n in range(4 * self.run)):
+            raise ValueError("runs of spaces are not cut alike")
 
     def merge(self, text: str, stop: bool = False) -> list[str]:
         """The parts that merging leaves of a text; with `stop`, the parts before the last merge if it would leave one."""
@@ -118,24 +130,53 @@ class Lattice:
             else:
                 limit, in_left, b = tb, False, parts[b][0]
 
+    def spaces(self, n: int) -> list[int]:
+        """The ids of n spaces that no word takes: the longest piece as often as it fits before a rest of at least its length."""
+        whole = max(0, n // self.run - 1)
+        return [self.ids[SPACE * self.run]] * whole + self.rests[n - whole * self.run]
+
     def encode(self, text: str) -> array:
-        """The ids of a text that has `▁` for its spaces, one window of it at a time."""
+        """The ids of a part of words() as shown(): `▁` stands at its start only, for its spaces."""
+        front = len(text) - len(text.lstrip(SPACE))
+        if front < 2:
+            return self._search(text)
+        ids = self._search(text[front - 1 :])
+        if ids[0] == self.ids[SPACE]:  # the word has not taken its space
+            return array("i", self.spaces(front)) + ids[1:]
+        return array("i", self.spaces(front - 1)) + ids
+
+    def _search(self, text: str) -> array:
         out = array("i")
-        if SPACE * 2 in text:
-            for p in self.merge(text):
-                out.extend([self.ids[p]] if p in self.ids else [self.bytes_id[b] for b in p.encode()])
-            return out
-        pairs, solved = self.pairs, 0
+        pairs, solved, base = self.pairs, 0, 0  # base: the window's first place
         survivor, size = [-1], [0]  # id (-1: none) and length of the surviving piece that ends at each place of the window
-        base = 0  # the window's first place
+        looked = 0
+
+        def settle() -> None:
+            """Commit the ids before the boundary on which all paths agree."""
+            nonlocal base, looked
+            self.widest = max(self.widest, len(size))
+            agreed = self._agreed(size, base, solved)
+            self._path(text, survivor, size, base, agreed, out)
+            del survivor[: agreed - base], size[: agreed - base]
+            base, looked = agreed, solved
+
+        def unknown(end: int) -> None:
+            """Characters without a piece, up to `end`."""
+            nonlocal solved
+            while solved < end:
+                n = min(LOOK, end - solved)
+                survivor.extend([-1] * n)
+                size.extend([1] * n)
+                solved += n
+                if solved - looked >= LOOK:
+                    settle()
+
         for end, (n, i) in self.ends.iter(text):
             end += 1
             if end <= solved:
                 continue
-            for _ in range(solved + 1, end):  # characters without a piece
-                survivor.append(-1)
-                size.append(1)
-            solved = end - 1
+            if end - 1 > solved:
+                unknown(end - 1)
             before = survivor[end - n - base]
             if before >= 0:
                 key = before << 32 | i
@@ -149,14 +190,9 @@ class Lattice:
             survivor.append(i)
             size.append(n)
             solved = end
-            if end % LOOK == 0:
-                agreed = self._agreed(size, base, end)
-                self._path(text, survivor, size, base, agreed, out)
-                del survivor[: agreed - base], size[: agreed - base]
-                base = agreed
-        for _ in range(solved, len(text)):
-            survivor.append(-1)
-            size.append(1)
+            if end - looked >= LOOK:
+                settle()
+        unknown(len(text))
         self._path(text, survivor, size, base, len(text), out)
         return out
 

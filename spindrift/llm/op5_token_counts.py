@@ -2,8 +2,8 @@
 
 Once in each task the vocabulary's own strings are encoded alone; those that come back as one token are proven whole
 tokens. Texts are cut where no piece can span (see pieces.py), parts that are proven whole count one without any
-merging, and only the others go through the library's merges, each different one once a slice and then kept in a
-bounded cache. A text's count is the sum over its parts, which is exact because nothing merges across a cut.
+merging, and only the others go through the library's merges, each different one once a slice and, if it is short, then
+kept in a cache bounded in bytes. A text's count is the sum over its parts, which is exact because nothing merges across a cut.
 
 One row in, one row out, no shuffle. Whole texts of any length are counted. Defined results: a null text counts as
 empty (0 bytes, 0 tokens); repeated rows are counted alike; input columns named as outputs are replaced.

@@ -16,8 +16,10 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE = "▁"
-#: Words that a task keeps at most besides those of the vocabulary; beyond, it starts anew. Only speed depends on it.
-KEPT_WORDS = 800_000
+#: Bytes, about, of the words that a task keeps besides those of the vocabulary; beyond, it starts anew. Longer words than
+#: LONG characters, such as paragraphs of scripts without spaces, are not kept. Only speed depends on either.
+KEPT_BYTES = 160 << 20
+LONG = 64
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -85,19 +87,22 @@ def shown(part: str) -> str:
 
 
 class Cache:
-    """What is known of words: base for good, others up to KEPT_WORDS and then anew."""
+    """What is known of words: base for good, others up to KEPT_BYTES and then anew."""
 
     def __init__(self, base: dict, encode: Callable[[list[str]], Iterable]) -> None:
-        self.base, self.encode, self.kept = base, encode, dict(base)
+        self.base, self.encode, self.kept, self.held = base, encode, dict(base), 0
 
     def look_up(self, parts: list[list[str]]) -> list[list]:
         """The value of each part of each list; what is not kept yet is encoded once for all lists."""
-        if len(self.kept) > len(self.base) + KEPT_WORDS:
-            self.kept = dict(self.base)
+        if self.held > KEPT_BYTES:
+            self.kept, self.held = dict(self.base), 0
         found = [list(map(self.kept.get, p)) for p in parts]
         short = [(p, f) for p, f in zip(parts, found, strict=True) if None in f]
         new = list({w for p, f in short for w, x in zip(p, f, strict=True) if x is None})
-        self.kept.update(zip(new, self.encode(new), strict=True))
+        made = dict(zip(new, self.encode(new), strict=True))
+        kept = {w: x for w, x in made.items() if len(w) <= LONG}
+        self.kept.update(kept)
+        self.held += sum(160 + 4 * len(w) for w in kept)  # two objects and their place in the table
         for p, f in short:
-            f[:] = map(self.kept.__getitem__, p)
+            f[:] = [made[w] if x is None else x for w, x in zip(p, f, strict=True)]
         return found
