@@ -12,7 +12,7 @@ hit words and items of the passes before (window_passes). Texts are read whole.
 
 Defined results: null texts have no words, hits or items (items_sha256 is that of the empty string); items that are null
 or without words have no windows; several items with one id are one item, a null id is left out; repeated rows are
-judged alike; input columns named as outputs are replaced.
+judged alike; input columns named as outputs are replaced, others may have any names; clean() returns all as they came.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from bisect import bisect_right
 from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, table
+from .common import append, name, packed, table
 
 WIDTH = 8
 #: Different items of which a document holds windows, from which it is contaminated.
@@ -37,9 +38,9 @@ MOST_WINDOWS = 200_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 PASS_FIELDS = [
-    T.StructField("_words", T.LongType()),
-    T.StructField("_hits", T.ArrayType(T.IntegerType())),
-    T.StructField("_items", T.ArrayType(T.LongType())),
+    T.StructField("words", T.LongType()),
+    T.StructField("hits", T.ArrayType(T.IntegerType())),
+    T.StructField("items", T.ArrayType(T.LongType())),
 ]
 
 
@@ -89,9 +90,10 @@ def scan(words: list[bytes], a: ahocorasick.Automaton) -> tuple[set[int], set[in
 
 
 def window_passes(df: DataFrame, found: DataFrame, text_col: str, most: int = MOST_WINDOWS) -> DataFrame:
-    """df with _words, _hits and _items: the number of words, places of hit words, and items, over all windows."""
+    """row, words, hits, items: df's rows as structs, the number of words, places of hit words, and items, over all windows."""
     n = found.agg(F.sum(F.size("items"))).first()[0] or 0
     shards = max(1, -(-n // most))
+    out = packed(df)
     for k in range(shards):
         part = found if shards == 1 else found.filter(F.pmod(F.xxhash64("window"), F.lit(shards)) == k)
         held = spark_broadcast(df.sparkSession, sorted((r[0], sorted(r[1])) for r in part.collect()))
@@ -110,8 +112,8 @@ def window_passes(df: DataFrame, found: DataFrame, text_col: str, most: int = MO
 
             return run
 
-        df = append(df, [text_col, *[f.name for f in PASS_FIELDS if k]], PASS_FIELDS, make, keep=[c for c in df.columns if c not in {f.name for f in PASS_FIELDS}])
-    return df
+        out = append(out, [("row", text_col), *[f.name for f in PASS_FIELDS if k]], PASS_FIELDS, make, keep=["row"])
+    return out
 
 
 def spark_broadcast(spark: SparkSession, value):  # noqa: ANN001, ANN201
@@ -128,46 +130,47 @@ FIELDS = [
 
 
 def original_spans(text: str, hits: list[int]) -> list[tuple[int, int]]:
-    """[start, end) code points of the runs of hit words in the text as it came."""
-    data = text.encode().translate(_TABLE)
-    bounds, at = [], 0
-    for w in data.split():
-        at = data.index(w, at)
-        bounds.append((at, at + len(w)))
-        at += len(w)
-    runs: list[list[int]] = []
-    for h in hits:
-        if runs and runs[-1][1] == h - 1:
-            runs[-1][1] = h
-        else:
-            runs.append([h, h])
+    """[start, end) code points of the runs of hit words in the text as it came, in one pass over its bytes."""
     raw = text.encode()
-    chars = lambda i: len(raw[:i].decode())
-    return [(chars(bounds[a][0]), chars(bounds[b][1])) for a, b in runs]
+    data = np.frombuffer(raw.translate(_TABLE), np.uint8)
+    inside = np.concatenate([[False], data != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # where each word starts and ends, in turn
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # code points before a byte
+    places = np.asarray(hits, np.int64)
+    breaks = np.flatnonzero(np.diff(places) != 1)
+    first, last = places[np.concatenate([[0], breaks + 1])], places[np.concatenate([breaks, [len(places) - 1]])]
+    return list(zip(chars[edges[2 * first]].tolist(), chars[edges[2 * last + 1]].tolist(), strict=True))
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, min_items: int = MIN_ITEMS, most: int = MOST_WINDOWS) -> DataFrame:
-    """df with n_words, n_hit, n_items, item_ids, spans, items_sha256 and contaminated for its text column."""
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, min_items: int = MIN_ITEMS, most: int = MOST_WINDOWS, spans: bool = True) -> DataFrame:
+    """df with n_words, n_hit, n_items, item_ids, spans (null unless asked for), items_sha256 and contaminated for its text column."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make() -> Callable[..., list]:
         def run(texts: pa.Array, n: pa.Array, hits: pa.Array, items: pa.Array) -> list:
             h, i = hits.to_pylist(), items.to_pylist()
-            spans = [original_spans(t.as_py(), x) if x else [] for t, x in zip(texts, h, strict=True)]
-            return [n, list(map(len, h)), list(map(len, i)), items, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            found = [original_spans(t.as_py(), x) if x else [] for t, x in zip(texts, h, strict=True)] if spans else [None] * len(h)
+            return [n, list(map(len, h)), list(map(len, i)), items, pa.array(found, span)]
 
         return run
 
     passed = window_passes(df, windows(benchmark, width), text_col, most)
-    kept = [c for c in df.columns if c not in {f.name for f in PASS_FIELDS}]
-    out = append(passed, [text_col, "_words", "_hits", "_items"], FIELDS, make, keep=kept)
+    out = append(passed, [("row", text_col), *[f.name for f in PASS_FIELDS]], FIELDS, make, keep=["row"])
     ids = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
-    return out.withColumns({"items_sha256": F.sha2(ids, 256), "contaminated": F.col("n_items") >= min_items})
+    out = out.withColumns({"items_sha256": F.sha2(ids, 256), "contaminated": F.col("n_items") >= min_items})
+    made = [c for c in out.columns if c != "row"]
+    return out.select(*[name(c, "row") for c in df.columns if c.lower() not in made], *made)
+
+
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
+    """df's rows that hold no window of the benchmark."""
+    return window_passes(df, windows(benchmark, width), text_col, most).filter("size(items) = 0").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text", "item_ids", "spans")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), spans=False).drop("text", "item_ids", "spans")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
