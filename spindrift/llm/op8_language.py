@@ -4,17 +4,19 @@ Texts are cut into windows of WINDOW bytes of UTF-8, which cover them whole; the
 learned vector; filters of several widths slide over the window, each keeps its largest value, and a softmax layer turns
 these into probabilities. A text's are the means over its windows, weighted by their bytes. Training is plain numpy
 (Adam on cross-entropy) on a bounded sample: MOST_DOCUMENTS divided among all labelled languages, at most PER_LANGUAGE and
-at least one of each, chosen by a hash of their ids, and PER_DOCUMENT windows of each, from places spread over the text. The weights are a few kB and go to every task.
+at least one of each, chosen by a hash of id and text, and PER_DOCUMENT windows of each, from places spread over the text.
+Every labelled language is learned. The weights are a few kB and go to every task.
 
 Prediction reads the text alone. Documents whose crc32 of the id modulo 4 is 2 are held out of training (see op8).
 
 Defined results: a text that is null or has no letter is `und` with score 0; with no labelled text at all every text is
-`und`; repeated rows are predicted alike; input columns named as outputs are replaced. Null labels are never learned.
+`und`; repeated rows are predicted alike and learned once; input columns named as outputs are replaced, others may have any
+names; keep_known() returns all as they came. Null labels are never learned. Of languages that are equally likely the
+first by name is told.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, table
+from .common import append, name, packed, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 5)
@@ -39,6 +41,8 @@ BATCH = 64
 SEED = 7
 
 UNKNOWN = "und"
+#: How far from chance to certainty a score must be for keep_known(): 0.3 with four languages.
+LIFT = 1 / 15
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
@@ -138,24 +142,26 @@ def _gradients(net: Network, windows: np.ndarray, labels: np.ndarray) -> list[np
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """Windows of at most per_language documents of each language, as (language, bytes), in a fixed order.
 
-    Languages are counted first; a document is drawn if a hash of its id is under its language's share, so no language
-    gathers in one task and only what is drawn reaches the driver. One of which nothing was drawn gives its first by hash.
+    Languages are counted first; a document is drawn if a hash of it is under its language's share, so no language gathers
+    in one task, and repeated rows are one before anything reaches the driver: about 1.5 * per_language documents a
+    language at most. A language of which nothing was drawn gives its first by hash.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().collect()
+    rows = labelled.select(name(lang_col).alias("l"), F.xxhash64(name(id_col), name(text_col)).alias("h"), name(text_col).alias("t")).filter("l is not null and t is not null")
+    counts = rows.groupBy("l").count().collect()
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000))
+    whole = 1 << 62
     per_language = max(1, min(per_language, MOST_DOCUMENTS // len(counts)))
-    shares = [(lang, min(1_000_000, int(1.5 * per_language / n * 1_000_000) + 1)) for lang, n in counts]
-    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "_lang string, _share int"))
-    spots = F.transform(F.sequence(F.lit(0), F.lit(PER_DOCUMENT - 1)), lambda i: F.substring(F.col(text_col), (F.length(text_col) * i / PER_DOCUMENT).cast("int") + 1, F.lit(WINDOW)))
-    shown = [F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(12)).alias("h"), F.array_distinct(spots).alias("s")]
-    drawn = rows.join(shares, F.col(lang_col) == F.col("_lang")).filter(draw < F.col("_share")).select(*shown).collect()
+    shares = [(lang, min(whole, int(1.5 * per_language / n * whole) + 1)) for lang, n in counts]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "l string, share long"))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(PER_DOCUMENT - 1)), lambda i: F.substring("t", (F.length("t") * i / PER_DOCUMENT).cast("int") + 1, F.lit(WINDOW)))
+    shown = ["l", "h", F.array_distinct(spots).alias("s")]
+    under = F.col("h").bitwiseAND(F.lit(whole - 1)) < F.col("share")
+    drawn = rows.join(shares, "l").filter(under).select(*shown).groupBy("l", "h").agg(F.min("s").alias("s")).collect()
     missing = {lang for lang, _ in counts} - {r[0] for r in drawn}
     if missing:
-        left = F.broadcast(labelled.sparkSession.createDataFrame([(lang,) for lang in missing], "_lang string"))
-        first = rows.join(left, F.col(lang_col) == F.col("_lang"), "left_semi").select(*shown).filter("size(array_remove(s, '')) > 0")
+        left = F.broadcast(labelled.sparkSession.createDataFrame([(lang,) for lang in missing], "l string"))
+        first = rows.join(left, "l", "left_semi").select(*shown).filter("size(array_remove(s, '')) > 0")
         drawn += first.groupBy("l").agg(F.min(F.struct("h", "s")).alias("f")).select("l", "f.*").collect()
     out, taken = [], {}
     for lang, _, parts in sorted(drawn, key=lambda r: (r[0], r[1], r[2])):
@@ -179,9 +185,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score of its text column, from all windows of each text."""
-    held = df.sparkSession.sparkContext.broadcast(net)
+def _predictor(spark: SparkSession, net: Network | None) -> Callable[[], Callable[[pa.Array], list]]:
+    held = spark.sparkContext.broadcast(net)
 
     def make() -> Callable[[pa.Array], list]:
         net = held.value
@@ -219,7 +224,24 @@ def predict(df: DataFrame, net: Network | None, text_col: str = "text") -> DataF
 
         return run
 
-    return append(df, [text_col], FIELDS, make)
+    return make
+
+
+def predict(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """df with lang_pred and score of its text column, from all windows of each text."""
+    return append(df, [text_col], FIELDS, _predictor(df.sparkSession, net))
+
+
+def least_score(n: int, lift: float = LIFT) -> float:
+    """The score that stands `lift` of the way from chance among n languages to certainty."""
+    return 1 / n + lift * (1 - 1 / n) - 1e-6 if n else 0.0
+
+
+def keep_known(df: DataFrame, net: Network | None, text_col: str = "text", lift: float = LIFT) -> DataFrame:
+    """df's rows whose text has a letter and a language that the network can tell."""
+    told = append(packed(df), [("row", text_col)], FIELDS, _predictor(df.sparkSession, net))
+    least = least_score(len(net.languages) if net else 0, lift)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def remainder(id_col: str = "doc_id") -> Column:
