@@ -13,13 +13,16 @@ Reading: the captures of the merged index are dealt to the archives, sorted by o
 parsed; lengths, digests, types and references come from the records.
 
 Of the captures with equal payloads the one with the smallest page id is a response; others are revisits that refer to
-it and carry the response's headers, with the payload's length and digest, but no payload. Files are written under a
-temporary name in the shared folder and then moved; a task that runs again writes the same bytes under a name of its
-own, and only the names of finished tasks are read on.
+it and carry the response's headers, with the payload's length and digest, but no payload. Pages are written once with
+their digests and a number each; copies meet by digest, and what a page refers to is looked up where the page lies
+(attach), so payloads are never shuffled, however many have copies. Files are written under a temporary name in the
+shared folder and then moved; a task that runs again writes the same bytes under a name of its own, and only the names of
+finished tasks are read on.
 
 Defined results: a null html is an empty payload, a null url an empty target with the empty key; rows with equal page
 id and payload are all responses if that id is the smallest; a null page id is never the smallest unless all are null,
-and then all are responses; payloads under min_bytes are always responses; an empty table gives no rows.
+and then all are responses; payloads under min_bytes are always responses; an empty table gives no rows; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +41,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, hot_join, scratch, slices, table
+from .common import Files, attach, cut, hot_join, name, numbered, scratch, slices, table
 
 #: Runs that one merge reads at a time.
 FAN_IN = 64
-#: Captures in a key range, about, up to MOST_RANGES ranges.
+#: Captures in a key range, about, up to MOST_RANGES ranges: each run has a slice for each range, so that with more captures
+#: ranges grow. A merge streams them, whatever their length. A sample of SAMPLED captures a range places the cuts.
 RANGE_ROWS = 4_000
-MOST_RANGES = 1_000
+MOST_RANGES = 10_000
+SAMPLED = 20
+#: Archive bytes, about, that one task reads back.
+READ_BYTES = 64 << 20
 #: Bytes read at a time from a slice of a run.
 BUFFER = 64 << 10
 #: Fixed value: the time of page 0; page n is captured n seconds later.
@@ -111,27 +118,6 @@ def one_line(url: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-class Files:
-    """A folder that driver and executors share, by any of Arrow's file systems."""
-
-    def __init__(self, folder: str) -> None:
-        from pyarrow import fs
-
-        self.fs, self.path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-    def write(self, name: str, data: Iterable[bytes]) -> None:
-        """Write under a temporary name, then move: a reader never sees half a file."""
-        self.fs.create_dir(self.path, recursive=True)
-        part = f"{self.path}/.{name}.{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(part) as f:
-            for x in data:
-                f.write(x)
-        self.fs.move(part, f"{self.path}/{name}")
-
-    def open(self, name: str) -> pa.NativeFile:
-        return self.fs.open_input_file(f"{self.path}/{name}")
-
-
 def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
     """Merge sorted iterators: each inner node keeps the loser of its match, so that the next smallest row costs one
     comparison a level on the path from the leaf that won last."""
@@ -187,6 +173,8 @@ def _read_slice(files: Files, name: str, start: int, length: int) -> Iterator[tu
         rest, left = b"", length
         while left:
             data = f.read(min(BUFFER, left))
+            if not data:
+                raise ValueError(f"{name} is shorter than its index says")
             left -= len(data)
             *lines, rest = (rest + data).split(b"\n")
             for x in lines:
@@ -211,13 +199,14 @@ CAPTURE = T.StructType(
 
 def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, html with refers_to: the smallest page id with the payload, null for that page itself."""
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    firsts = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    firsts = cut(firsts, "firsts")
-    out = hot_join(rows, firsts, ["digest"], "copies")
-    refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return out.select("page_id", "url", "html", refers.alias("refers_to"))
+    rows = pages.select(name("page_id").cast("long").alias("page_id"), F.coalesce(name("url"), F.lit("")).alias("url"), F.coalesce(name("html"), F.lit("")).alias("html"))
+    held = cut(numbered(rows).withColumn("digest", F.unhex(F.sha1(F.encode("row.html", "utf-8")))).withColumn("size", F.octet_length("row.html")), "pages")
+    known = held.filter(F.col("size") >= min_bytes).select("at", "digest", F.col("row.page_id").alias("page_id"))
+    firsts = cut(known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1 and first_id is not null"), "firsts")
+    # Payloads without copies meet nothing; what is left of the others is a number and an id.
+    others = hot_join(known, firsts, ["digest"], "copies").filter("first_id is not null and not page_id <=> first_id")
+    out = attach(held.select("at", "row"), others.select("at", F.col("first_id").alias("refers_to")))
+    return out.select("row.*", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
@@ -227,9 +216,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, range_rows
     k = min(MOST_RANGES, max(1, -(-n // range_rows)))
     bounds: list[tuple] = []
     if k > 1:
-        # A sample by hash of bounded size only places the cuts; every row goes through the merge.
-        sample = pages.select("page_id", "url").filter(F.xxhash64("page_id", "url") % F.lit(max(1, n // (20 * k))) == 0)
-        keys = sorted(_order((url_key(r[1]), _stamp(r[0]), r[0], "", 0)) for r in sample.toLocalIterator())
+        # A sample by hash, of expected size SAMPLED * k, only places the cuts; every row goes through the merge.
+        drawn = pages.select("page_id", "url").filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, n // (SAMPLED * k)))) == 0)
+        keys = sorted(_order((url_key(r[1]), _stamp(r[0]), r[0], "", 0)) for r in drawn.distinct().toLocalIterator())
         bounds = sorted({keys[len(keys) * i // k] for i in range(1, k)}) if keys else []
     held = spark.sparkContext.broadcast(bounds)
     schema = to_arrow_schema(RUN)
@@ -342,10 +331,13 @@ READ = T.StructType(
 )
 
 
-def read_archives(captures: DataFrame, folder: str, tasks: int) -> DataFrame:
-    """What the archives hold of each capture of a merged index, read by so many tasks: index rows are few bytes for the
-    archive bytes that they stand for, so their number does not follow from their size."""
+def read_archives(captures: DataFrame, folder: str) -> DataFrame:
+    """What the archives hold of each capture of a merged index (a table: it is read twice).
+
+    Tasks are as many as the archives' bytes ask for: index rows are few bytes for what they stand for.
+    """
     schema = to_arrow_schema(READ)
+    tasks = -(-(captures.agg(F.sum("length")).first()[0] or 1) // READ_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, name, f = Files(folder), None, io.BytesIO()
@@ -363,14 +355,15 @@ def read_archives(captures: DataFrame, folder: str, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(schema)], schema=schema)
         f.close()
 
-    return captures.repartition(tasks, "archive", (F.col("offset") / (64 << 20)).cast("long")).sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
+    return captures.repartition(max(tasks, 2 * captures.sparkSession.sparkContext.defaultParallelism), "archive", (F.col("offset") / (READ_BYTES // 16)).cast("long")).sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through archives, runs and the merged index, read back."""
     folder = scratch(spark, "warc")
     runs, n = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return read_archives(merge_runs(runs, folder, n), folder, n).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    captures = cut(merge_runs(runs, folder, n), "captures")
+    return read_archives(captures, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
