@@ -15,11 +15,17 @@ with no other document has the mean of the level above.
 
 Aggregates are combined before the shuffle, so a host with a third of all documents costs one row a task. Their join
 back to the documents sends keys with over a thousandth of all documents to every task, of which there are under a
-thousand, and shuffles ids and probabilities, never texts, for the others (hot_join). A result is written once.
+thousand, and shuffles row numbers and probabilities for the others (hot_join). Texts go through the classifier once and
+are never shuffled, whatever the number of hosts: the evidence is written beside the rows with a number for each, and the
+rows that stay are picked where they lie (attach).
+
+The host is a document's site (here `source`), the path a section of it (here `lang`, which is the first part of its
+pages' paths); both are parameters.
 
 Defined results: a null or empty text has the evidence of a text without any words; null hosts and paths are groups of
-their own; repeated rows count as often as they occur; with no labels, or labels of one kind only, the classifier gives
-that kind's share; an empty table gives no rows; input columns named as outputs are replaced.
+their own; repeated rows count as often as they occur; equal evidence has equal results in one path; with no labels, or
+labels of one kind only, the classifier gives that kind's share; an empty table gives no rows; of several texts under one
+labelled id, one is learned. keep_good() returns all columns as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, cut, hot_join, table
+from .common import append, attach, cut, hot_join, name, numbered, table
 
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 4_000
@@ -126,16 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifier:
     def make() -> Callable[[pa.Array], list]:
         return lambda texts: [[features(t or "").tolist() for t in texts.to_pylist()]]
 
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = append(rows, ["text"], [T.StructField("x", T.ArrayType(T.DoubleType()))], make, keep=["doc_id", "quality"])
-    found = sorted(got.collect(), key=lambda r: (r[0], r[2]))[: 2 * most]
+    # One row an id before anything reaches the driver, however often an id is repeated.
+    found = got.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).orderBy("doc_id").select("r.*").collect()
     if not found:
         return Classifier(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), 0.0)
-    return train(np.array([r[2] for r in found]), np.array([float(r[1] > 0) for r in found]))
+    return train(np.array([r.x for r in found]), np.array([float(r.quality > 0) for r in found]))
 
 
-def own_evidence(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """df with p_text, the classifier's probability in millionths (1 to 999,999), for its text column."""
+def own_evidence(df: DataFrame, model: Classifier, text_col: str | tuple[str, str] = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (or `keep` of it) with p_text, the classifier's probability in millionths (1 to 999,999), for its text column."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[pa.Array], list]:
@@ -145,7 +152,7 @@ def own_evidence(df: DataFrame, model: Classifier, text_col: str = "text") -> Da
 
         return run
 
-    return append(df, [text_col], [T.StructField("p_text", T.LongType())], make)
+    return append(df, [text_col], [T.StructField("p_text", T.LongType())], make, keep)
 
 
 def strength(means: DataFrame, n: str, s: str, level: str) -> float:
@@ -173,45 +180,42 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(evidence: DataFrame, host: str, path: str, trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
-    """evidence (with p_text) with p_host, p_path, posterior and keep."""
-    paths = cut(evidence.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count("*").alias("_n"), (F.sum("p_text")).alias("_s")), "paths")
-    hosts = cut(paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"), F.count("*").alias("_paths")), "hosts")
-    n, s = hosts.agg(F.sum("_hn"), F.sum("_hs")).first()
+def posteriors(evidence: DataFrame, trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
+    """evidence (host, path, p_text, and one column for a document's id or number) with p_host, p_path, posterior and keep."""
+    paths = cut(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s")), "paths")
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("paths")), "hosts")
+    n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
     if not n:
         none = F.lit(None).cast("double")
         return evidence.withColumns({"p_host": none, "p_path": none, "posterior": none, "keep": F.lit(None).cast("boolean")})
     overall = s / n / 1e6
-    k_host = strength(hosts.select("_hn", (F.col("_hs") / 1e6).alias("_hs"), F.lit(overall).alias("_m")), "_hn", "_hs", "_m")
-    both = cut(hot_join(paths, hosts, ["_host"], "_paths"), "levels")
-    level = both.select("_n", (F.col("_s") / 1e6).alias("_s"), shrunk(F.col("_hs") / 1e6, F.col("_hn"), F.lit(overall), k_host).alias("_m"))
-    k_path = strength(level, "_n", "_s", "_m")
-    rows = evidence.withColumns({"_host": F.col(host), "_path": F.col(path)})
-    out = hot_join(rows, both, ["_host", "_path"], "_n")
+    k_host = strength(hosts.select("hn", (F.col("hs") / 1e6).alias("hs"), F.lit(overall).alias("m")), "hn", "hs", "m")
+    both = cut(hot_join(paths, hosts, ["host"], "paths").drop("paths"), "levels")
+    level = both.select("n", (F.col("s") / 1e6).alias("s"), shrunk(F.col("hs") / 1e6, F.col("hn"), F.lit(overall), k_host).alias("m"))
+    k_path = strength(level, "n", "s", "m")
+    out = hot_join(evidence, both, ["host", "path"], "n")
     p = F.col("p_text") / 1e6
-    out = out.withColumn("p_host", shrunk((F.col("_hs") - F.col("p_text")) / 1e6, F.col("_hn") - 1, F.lit(overall), k_host))
-    out = out.withColumn("p_path", shrunk((F.col("_s") - F.col("p_text")) / 1e6, F.col("_n") - 1, F.col("p_host"), k_path))
+    out = out.withColumn("p_host", shrunk((F.col("hs") - F.col("p_text")) / 1e6, F.col("hn") - 1, F.lit(overall), k_host))
+    out = out.withColumn("p_path", shrunk((F.col("s") - F.col("p_text")) / 1e6, F.col("n") - 1, F.col("p_host"), k_path))
     z = logit(p) + F.lit(trust) * (logit(F.col("p_path")) - logit(F.lit(overall)))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-z)))
-    return out.withColumn("keep", F.col("posterior") >= threshold).drop("_host", "_path", "_n", "_s", "_hn", "_hs", "_paths")
+    return out.withColumn("keep", F.col("posterior") >= threshold).drop("n", "s", "hn", "hs")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
-    """id, host and path of every document with p_text, p_host, p_path, posterior and keep.
-
-    docs' host is the site (here `source`); its path the section of it (here `lang`, the first part of its pages' paths).
-    """
-    model = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels.select("doc_id", "quality"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    evidence = cut(own_evidence(rows, model).drop("text"), "evidence")
-    return posteriors(evidence, "host", "path", trust, threshold)
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", host_col: str = "source", path_col: str = "lang", trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows that the classifier keeps. Texts are read once for the groups' sums and once more for the filter."""
-    model = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels.select("doc_id", "quality"))
-    judged = posteriors(own_evidence(docs, model, text_col), host_col, path_col, trust, threshold)
-    return judged.filter("keep").select(*docs.columns)
+    """doc_id, host and path of every document with p_text, p_host, p_path, posterior and keep."""
+    docs = docs.select(name(id_col).alias("doc_id"), name(host_col).alias("host"), name(path_col).alias("path"), name(text_col).alias("text"))
+    evidence = cut(own_evidence(docs, fit(docs, labels), keep=["doc_id", "host", "path"]), "evidence")
+    return posteriors(evidence, trust, threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", trust: float = TRUST, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows that the classifier keeps."""
+    model = fit(docs.select(name(id_col).alias("doc_id"), name(text_col).alias("text")), labels)
+    judged = cut(own_evidence(numbered(docs), model, ("row", text_col)), "judged")
+    evidence = judged.select("at", name(host_col, "row").alias("host"), name(path_col, "row").alias("path"), "p_text")
+    good = posteriors(evidence, trust, threshold).filter("keep").select("at")
+    return attach(judged.select("at", "row"), good, only=True).select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
