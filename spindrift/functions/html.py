@@ -17,6 +17,8 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div section article main nav td th body html select".split())
+#: For each tag that ends others: where the search for these stops.
+_STOPS = {t: SCOPES - set(ends) for t, ends in ENDS.items()}
 
 
 class Node:
@@ -60,11 +62,13 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#document", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends, node = ENDS.get(tag, ()), self.at
-        while ends and node.parent is not None and node.tag not in SCOPES - set(ends):
-            if node.tag in ends:
-                self.at = node.parent
-            node = node.parent
+        ends, node = ENDS.get(tag), self.at
+        if ends:
+            stops = _STOPS[tag]
+            while node.parent is not None and node.tag not in stops:
+                if node.tag in ends:
+                    self.at = node.parent
+                node = node.parent
         new = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(new)
         if tag not in VOID:

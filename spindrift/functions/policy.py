@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..schemas import CRAWL_DELAY_DEFAULT_MS, CRAWL_DELAY_MAX_MS, CRAWL_DELAY_MIN_MS, ROBOTS_TTL_HOURS, USER_AGENT
 
-POLICY = T.StructType([T.StructField("is_crawlable", T.BooleanType()), T.StructField("crawl_delay_ms", T.IntegerType()), T.StructField("is_final", T.BooleanType()), T.StructField("has_rules", T.BooleanType())])
+RULE = T.StructType([T.StructField("prefix", T.StringType()), T.StructField("allow", T.BooleanType())])
+POLICY = T.StructType([T.StructField("is_crawlable", T.BooleanType()), T.StructField("crawl_delay_ms", T.IntegerType()), T.StructField("is_final", T.BooleanType()), T.StructField("has_rules", T.BooleanType()), T.StructField("rules", T.ArrayType(RULE))])
 
 
 def clamp_delay(ms: Column) -> Column:
@@ -39,36 +41,59 @@ def read_robots(host: str, body: str | None, status: int) -> tuple[bool, int, bo
     return rules.can_fetch(USER_AGENT, f"https://{host}/"), min(max(ms, CRAWL_DELAY_MIN_MS), CRAWL_DELAY_MAX_MS), True, True
 
 
+def own_rules(body: str | None) -> list[tuple[str, bool]]:
+    """(prefix, allow) of the rules that a robots.txt has for this crawler, in order; the first whose prefix fits counts."""
+    rules = _rules(body)
+    entry = next((e for e in rules.entries if e.applies_to(USER_AGENT)), rules.default_entry)
+    return [("" if r.path == "*" else r.path, r.allowance) for r in entry.rulelines] if entry else []
+
+
 @F.pandas_udf(POLICY)
 def _read_udf(host: pd.Series, body: pd.Series, status: pd.Series) -> pd.DataFrame:
     rows = [read_robots(h, b, int(s)) for h, b, s in zip(host, body, status, strict=True)]
-    return pd.DataFrame(rows, columns=POLICY.names)
+    return pd.DataFrame([(*r, own_rules(b) if r[3] else []) for r, b in zip(rows, body, strict=True)], columns=POLICY.names)
 
 
 def parse_robots(robots: DataFrame) -> DataFrame:
-    """host, body, status with is_crawlable, crawl_delay_ms, is_final, has_rules."""
+    """host, body, status with is_crawlable, crawl_delay_ms, is_final, has_rules and rules: each answer is parsed once."""
     p = _read_udf("host", "body", F.coalesce("status", F.lit(599)))
     return robots.withColumn("_p", p).select(*robots.columns, "_p.*")
 
 
+#: URLs whose part that rules look at is the path as it stands.
+SIMPLE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/|/[A-Za-z0-9_.~-][A-Za-z0-9_.~/-]*)?$"
+
+
+@F.pandas_udf(T.StringType())
+def _matched_udf(url: pd.Series) -> pd.Series:
+    def part(u: str) -> str:
+        x = urlparse(unquote(u))
+        return quote(urlunparse(("", "", x.path, x.params, x.query, x.fragment))) or "/"
+
+    return url.map(part, na_action="ignore")
+
+
+def matched_part(url: Column) -> Column:
+    """What the rules' prefixes are compared with: path, query and fragment, quoted alike; built in for simple URLs."""
+    simple = F.coalesce(url.rlike(SIMPLE), F.lit(False))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$", 1)
+    return F.when(simple, F.when(path == "", "/").otherwise(path)).otherwise(_matched_udf(F.when(~simple, url)))
+
+
 def is_stale(fetched_at: Column, now: Column) -> Column:
     return fetched_at.isNull() | (now - fetched_at > F.expr(f"interval {ROBOTS_TTL_HOURS} hours"))
 
 
 def robots_allowed(urls: DataFrame, policies: DataFrame) -> DataFrame:
-    """urls (host, url) with `allowed`: the host's policy (host, body, is_crawlable, has_rules) applied, closed if unknown.
+    """urls (host, url) with `allowed`: the host's policy (host, is_crawlable, has_rules, rules) applied, closed if unknown.
 
-    A host's URLs are read with its rules by one vectorised function, which parses each different body once a batch.
+    Answers were parsed once a host; a url meets its host's few prefixes, never the text that they came from.
     """
-
-    @F.pandas_udf("boolean")
-    def can(body: pd.Series, url: pd.Series) -> pd.Series:
-        parsed = {b: _rules(b) for b in set(body.fillna(""))}
-        return pd.Series([parsed[b].can_fetch(USER_AGENT, u) for b, u in zip(body.fillna(""), url, strict=True)])
-
-    known = policies.select("host", F.col("body").alias("_body"), F.col("is_crawlable").alias("_open"), F.col("has_rules").alias("_rules"))
-    out = urls.join(known, "host", "left").withColumn("_can", can("_body", "url"))
-    return out.withColumn("allowed", F.coalesce(F.col("_open") & F.col("_rules") & F.col("_can"), F.lit(False))).drop("_body", "_open", "_rules", "_can")
+    known = policies.select("host", F.col("is_crawlable").alias("_open"), F.col("has_rules").alias("_known"), F.col("rules").alias("_rules"))
+    out = urls.join(known, "host", "left").withColumn("_part", matched_part(F.col("url")))
+    first = F.try_element_at(F.filter("_rules", lambda r: F.startswith(F.col("_part"), r.prefix)), F.lit(1))
+    can = F.col("url").isNotNull() & F.coalesce(first.allow, F.lit(True))
+    return out.withColumn("allowed", F.coalesce(F.col("_open") & F.col("_known") & can, F.lit(False))).drop("_open", "_known", "_rules", "_part")
 
 
 def hosts_to_refresh(domains: DataFrame, now: Column) -> DataFrame:

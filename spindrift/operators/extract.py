@@ -1,7 +1,8 @@
 """Pages to documents and links, and pages to records by declared fields.
 
 HTML needs a parser, so each is one Arrow-batched pass over the rows with all results of a page in one struct: a page is
-parsed once. What follows (hashes, counts, joins) is built in.
+parsed once, its elements are listed by tag in one walk, and only the parts that are asked for are made. What follows
+(hashes, counts, joins) is built in.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..functions.urls import canonical
 
 #: Fixed value: elements that are not part of a page's content.
 BOILERPLATE = "script, style, nav, header, footer, aside, noscript, iframe, form"
+_HIDDEN = frozenset(BOILERPLATE.split(", "))
 
 LINK = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "anchor_text", "rel")])
 PAGE = T.StructType(
@@ -41,45 +43,95 @@ def stripped(node: dom.Node) -> str:
     return "".join(t.strip() for t in node.texts())
 
 
-def page_of(body: str | None, base: str) -> dict | None:
-    """What a page says; None without a body or where it asks not to be indexed."""
+def _by_tag(tree: dom.Node) -> dict[str, list[dom.Node]]:
+    """The elements of a tree by their tag, in document order."""
+    found: dict[str, list[dom.Node]] = {}
+    for n in tree.walk():
+        found.setdefault(n.tag, []).append(n)
+    return found
+
+
+def _is_shown(node: dom.Node) -> bool:
+    up: dom.Node | None = node
+    while up is not None:
+        if up.tag in _HIDDEN:
+            return False
+        up = up.parent
+    return True
+
+
+def _shown_text(node: dom.Node) -> str:
+    """The texts below an element but for boilerplate, joined and with single spaces."""
+    parts: list[str] = []
+    todo: list = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag not in _HIDDEN:
+            todo.extend(reversed(x.children))
+    return re.sub(r"\s+", " ", " ".join(parts)).strip()
+
+
+def _links(anchors: list[dom.Node], base: str) -> list[dict]:
+    """The canonical URLs that anchors lead to, each once, with the first anchor's text."""
+    links: dict[str, dict] = {}
+    seen: set[str] = set()
+    for a in anchors:
+        href = a.attrs.get("href")
+        if href and href not in seen:
+            seen.add(href)
+            if (url := canonical(href, base)) and url not in links:
+                links[url] = {"url": url, "anchor_text": stripped(a) or None, "rel": a.attrs.get("rel")}
+    return list(links.values())
+
+
+def page_of(body: str | None, base: str, parts: tuple[str, ...] = tuple(PAGE.names)) -> dict | None:
+    """What a page says, of the parts that are asked for; None without a body or where it asks not to be indexed."""
     if not body:
         return None
-    tree = dom.parse(body)
-    attr = lambda selector, name: (n.attrs.get(name) if (n := dom.css_first(tree, selector)) else None)
-    if "noindex" in (attr('meta[name="robots"]', "content") or "").lower():
+    by = _by_tag(dom.parse(body))
+    first = lambda tag, test, name: next((n.attrs.get(name) for n in by.get(tag, ()) if test(n.attrs)), None)
+    shown = lambda *tags: next((n for tag in tags for n in by.get(tag, ()) if _is_shown(n)), None)
+    if "noindex" in (first("meta", lambda a: a.get("name") == "robots", "content") or "").lower():
         return None
-    links: dict[str, dict] = {}
-    for a in dom.css(tree, "a[href]"):
-        if a.attrs["href"] and (url := canonical(a.attrs["href"], base)) and url not in links:
-            links[url] = {"url": url, "anchor_text": stripped(a) or None, "rel": a.attrs.get("rel")}
-    href, lang = attr('link[rel="canonical"]', "href"), attr("html", "lang")
-    for node in dom.css(tree, BOILERPLATE):
-        node.remove()
-    title = dom.css_first(tree, "title")
-    content = dom.css_first(tree, "main") or dom.css_first(tree, "article") or dom.css_first(tree, "body")
-    text = re.sub(r"\s+", " ", content.text(" ") if content else "").strip()
-    return {
-        "canonical_url": (canonical(href, base) if href else None) or base,
-        "title": stripped(title) if title else None,
-        "description": attr('meta[name="description"]', "content"),
-        "text": text,
-        "lang": lang.split("-")[0].lower() if lang else None,
-        "simhash": simhash_of(text),
-        "links": list(links.values()),
-    }
-
-
-@F.pandas_udf(PAGE)
-def _page_udf(body: pd.Series, base: pd.Series) -> pd.DataFrame:
-    rows = [page_of(b, u) or dict.fromkeys(PAGE.names) for b, u in zip(body, base, strict=True)]
-    return pd.DataFrame(rows, columns=PAGE.names)
-
-
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages but for their html, with what they say, word_count and content_sha256; pages without content are left out."""
+    out: dict = {}
+    if "canonical_url" in parts:
+        href = first("link", lambda a: a.get("rel") == "canonical", "href")
+        out["canonical_url"] = (canonical(href, base) if href else None) or base
+    if "title" in parts:
+        title = shown("title")
+        out["title"] = stripped(title) if title else None
+    if "description" in parts:
+        out["description"] = first("meta", lambda a: a.get("name") == "description", "content")
+    if "text" in parts or "simhash" in parts:
+        content = shown("main", "article", "body")
+        out["text"] = _shown_text(content) if content else ""
+    if "lang" in parts:
+        lang = first("html", lambda a: True, "lang")
+        out["lang"] = lang.split("-")[0].lower() if lang else None
+    if "simhash" in parts:
+        out["simhash"] = simhash_of(out["text"])
+    if "links" in parts:
+        out["links"] = _links(by.get("a", []), base)
+    return out
+
+
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", parts: tuple[str, ...] = tuple(PAGE.names)) -> DataFrame:
+    """pages but for their html, with what they say (of the parts that are asked for; with the text, also word_count and
+    content_sha256); pages without content are left out."""
     kept = [c for c in pages.columns if c != html_col]
-    out = pages.withColumn("_p", _page_udf(F.col(html_col), F.col(url_col))).select(*kept, "_p.*").filter("text is not null")
+    schema = T.StructType([T.StructField("found", T.BooleanType()), *[f for f in PAGE.fields if f.name in parts]])
+
+    @F.pandas_udf(schema)
+    def read(body: pd.Series, base: pd.Series) -> pd.DataFrame:
+        rows = [page_of(b, u, parts) for b, u in zip(body, base, strict=True)]
+        none = dict.fromkeys(schema.names)
+        return pd.DataFrame([none | {"found": r is not None} | (r or {}) for r in rows], columns=schema.names, dtype=object).astype({"found": bool} | ({"simhash": "Int64"} if "simhash" in parts else {}))
+
+    out = pages.withColumn("_p", read(F.col(html_col), F.col(url_col))).filter("_p.found").select(*kept, *[f"_p.{n}" for n in schema.names[1:]])
+    if "text" not in parts:
+        return out
     words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
     return out.withColumns({"word_count": words, "content_sha256": F.sha2("text", 256)})
 
@@ -143,17 +195,24 @@ def scrape_record(body: str | None, base: str, fields: list[Field], link_field:
     return {"data": json.dumps(data, ensure_ascii=False), "links": [u for h in hrefs if h and (u := canonical(h, base))]}
 
 
-def scrape_pages(targets: DataFrame, fields: str, link_field: str | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """targets but for their html, with data (JSON, null where a page cannot be read) and links, by the fields of one spec."""
-    spec = read_fields(fields)
+def scrape_targets(targets: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """targets (each with its spec's `fields` and `link_field`) but for their html, with data (JSON, null where a page
+    cannot be read) and links: one pass for all specs, whose fields are read once a batch."""
 
     @F.pandas_udf(RECORD)
-    def scrape(body: pd.Series, base: pd.Series) -> pd.DataFrame:
-        rows = [scrape_record(b, u, spec, link_field) or {"data": None, "links": []} for b, u in zip(body, base, strict=True)]
-        return pd.DataFrame(rows, columns=RECORD.names)
+    def scrape(body: pd.Series, base: pd.Series, fields: pd.Series, link_field: pd.Series) -> pd.DataFrame:
+        read = {f: read_fields(f) for f in set(fields.dropna())}
+        rows = [scrape_record(b, u, read[f], k) if f in read else None for b, u, f, k in zip(body, base, fields, link_field, strict=True)]
+        return pd.DataFrame([r or {"data": None, "links": []} for r in rows], columns=RECORD.names)
 
-    kept = [c for c in targets.columns if c != html_col]
-    return targets.withColumn("_r", scrape(F.col(html_col), F.col(url_col))).select(*kept, "_r.*")
+    kept = [c for c in targets.columns if c not in (html_col, "fields", "link_field")]
+    return targets.withColumn("_r", scrape(F.col(html_col), F.col(url_col), F.col("fields"), F.col("link_field"))).select(*kept, "_r.*")
+
+
+def scrape_pages(targets: DataFrame, fields: str, link_field: str | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """As scrape_targets(), for targets of one spec."""
+    read_fields(fields)
+    return scrape_targets(targets.withColumns({"fields": F.lit(fields), "link_field": F.lit(link_field).cast("string")}), url_col, html_col)
 
 
 def blob_key(prefix: str, host: Column, row_id: Column, ext: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize, registrable_host, url_key
+from ..sources.scratch import cut
 from ..schemas import (
     BACKOFF_DOUBLINGS,
     BACKOFF_MINUTES,
@@ -62,29 +63,39 @@ def _gate(domains: DataFrame, now: Column, strict: bool) -> DataFrame:
 def claim(urls: DataFrame, domains: DataFrame, now: Column, batch: int | None = BATCH_SIZE, strict: bool = True, due_col: str = "next_crawl_at", id_col: str = "url_id") -> DataFrame:
     """The best due row of each of the first `batch` domains (None: of all) that have any: highest priority, then longest due, then id.
 
-    With `strict`, domains that may not be crawled, or not yet, give nothing. A domain's best row is a minimum that is
-    combined before the shuffle: a domain with a third of all rows costs a row a task, and nothing is sorted.
+    With `strict`, domains that may not be crawled, or not yet, give nothing. A domain's best row is a minimum over the
+    three columns of the order alone, combined before the shuffle: a domain with a third of all rows costs a row a task.
+    The rows themselves are then met by id.
     """
     due = urls.filter((F.col("status") == "pending") & (F.col(due_col) <= now))
     order = ([(-F.col("priority")).alias("p")] if "priority" in urls.columns else []) + [F.col(due_col).alias("d"), F.col(id_col).alias("i")]
-    best = due.groupBy("domain_id").agg(F.min_by(F.struct(*[c for c in urls.columns if c not in ("domain_id", "host")]), F.struct(*order)).alias("r"))
+    best = due.select("domain_id", F.struct(*order).alias("o")).groupBy("domain_id").agg(F.min("o").alias("o")).select("domain_id", F.col("o.i").alias(id_col))
     gate = _gate(domains, now, strict).select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns])
-    out = best.join(gate, "domain_id")
-    out = out if batch is None else out.orderBy("domain_id").limit(batch)
-    return out.select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns], "r.*")
+    best = best.join(gate, "domain_id")
+    best = best if batch is None else best.orderBy("domain_id").limit(batch)
+    rest = [c for c in urls.columns if c not in (id_col, "domain_id", "host")]
+    return best.join(due.select(id_col, *rest), id_col).select("domain_id", "host", *[c for c in ("js_required",) if c in domains.columns], id_col, *rest)
+
+
+def _leasing(worker: str, now: Column, lease_s: int) -> dict[str, Column]:
+    return {"status": F.lit("leased"), "lease_owner": F.lit(worker), "lease_expires_at": now + seconds(lease_s), "attempt_count": F.col("attempt_count") + 1}
+
+
+def leased(rows: DataFrame, worker: str, now: Column, lease_s: int = LEASE_SECONDS) -> DataFrame:
+    """Claimed rows under a lease."""
+    return rows.withColumns(_leasing(worker, now, lease_s))
 
 
 def lease(urls: DataFrame, claimed: DataFrame, worker: str, now: Column, lease_s: int = LEASE_SECONDS, id_col: str = "url_id") -> DataFrame:
-    """urls with the claimed rows leased. At most a batch of rows is claimed, so their ids go to every task."""
-    mine = F.broadcast(claimed.select(F.col(id_col), F.lit(True).alias("_mine")))
+    """urls with the claimed rows leased."""
     hit = F.coalesce(F.col("_mine"), F.lit(False))
-    put = {"status": F.lit("leased"), "lease_owner": F.lit(worker), "lease_expires_at": now + seconds(lease_s), "attempt_count": F.col("attempt_count") + 1}
-    return urls.join(mine, id_col, "left").withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in put.items()}).drop("_mine")
+    put = {k: F.when(hit, v).otherwise(F.col(k)) for k, v in _leasing(worker, now, lease_s).items()}
+    return urls.join(claimed.select(F.col(id_col), F.lit(True).alias("_mine")), id_col, "left").withColumns(put).drop("_mine")
 
 
 def advance_domains(domains: DataFrame, claimed: DataFrame, now: Column) -> DataFrame:
     """domains of claimed rows become available again after their crawl delay."""
-    hit = F.broadcast(claimed.select("domain_id").distinct().withColumn("_hit", F.lit(True)))
+    hit = claimed.select("domain_id").distinct().withColumn("_hit", F.lit(True))
     after = now + F.make_dt_interval(secs=(F.col("crawl_delay_ms") / 1000).cast("decimal(18,6)"))
     return domains.join(hit, "domain_id", "left").withColumn("next_available_at", F.when(F.col("_hit"), after).otherwise(F.col("next_available_at"))).drop("_hit")
 
@@ -164,25 +175,54 @@ def js_evidence(domains: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def domain_counters(domains: DataFrame, changes: DataFrame, counter: str) -> DataFrame:
-    """domains with a counter raised by the number of its rows in `changes` (domain_id)."""
+    """domains with a counter raised by the number of its rows in `changes` (domain_id), combined before they meet."""
     n = changes.groupBy("domain_id").agg(F.count("*").alias("_n"))
     return domains.join(n, "domain_id", "left").withColumn(counter, F.col(counter) + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def enroll(urls: DataFrame, specs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """spec_id, url, url_key, domain_id: urls that active specs which take crawled pages match, by host and by pattern.
+def enroll(urls: DataFrame, specs: DataFrame, known: DataFrame | None = None, block: int = 200) -> DataFrame:
+    """spec_id, url, url_key, domain_id: urls (a row each) that active specs which take crawled pages match, by host and by pattern.
 
-    A spec without a host or a pattern takes any. Specs with a host meet urls on it; those without are few, and each url
-    is tested against them.
+    A spec without a host or a pattern takes any. Specs with a host meet urls on it. Those without, which are written by
+    hand, become patterns of the plan, `block` at a time: a url is read once a block and gives a row for each that fits.
     """
     active = specs.filter("is_active and feed_from_crawler").select("spec_id", "host_pattern", "path_regex")
     fits = F.col("path_regex").isNull() | F.expr("url rlike path_regex")
-    by_host = urls.join(active.filter("host_pattern is not null").withColumnRenamed("host_pattern", "host"), "host").filter(fits)
-    any_host = urls.join(active.filter("host_pattern is null").drop("host_pattern"), fits)
-    out = by_host.select("spec_id", "url", "url_key", "domain_id").unionByName(any_host.select("spec_id", "url", "url_key", "domain_id")).distinct()
+    kept = ["spec_id", "url", "url_key", "domain_id"]
+    out = urls.join(active.filter("host_pattern is not null").withColumnRenamed("host_pattern", "host"), "host").filter(fits).select(*kept)
+    anywhere = [tuple(r) for r in active.filter("host_pattern is null").select("spec_id", "path_regex").orderBy("spec_id").toLocalIterator()]
+    for i in range(0, len(anywhere), block):
+        ids = F.array(*[F.when(F.lit(True) if p is None else F.col("url").rlike(p), F.lit(k)) for k, p in anywhere[i : i + block]])
+        out = out.unionByName(urls.select(F.explode(F.array_compact(ids)).alias("spec_id"), *kept[1:]))
     return out if known is None else out.join(known.select("spec_id", "url_key"), ["spec_id", "url_key"], "left_anti")
 
 
+def expand(roots: DataFrame, edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """url_id, depth: what is within `most` steps of the roots. A step follows the edges of the layer before it alone, and
+    leaves out what was seen; each layer is written once."""
+    seen = cut(roots.select("url_id").distinct().withColumn("depth", F.lit(0)), "layer")
+    layer = seen
+    for k in range(1, most + 1):
+        found = layer.join(edges, F.col("url_id") == F.col("from_id")).select(F.col("to_id").alias("url_id")).distinct()
+        layer = cut(found.join(seen, "url_id", "left_anti").withColumn("depth", F.lit(k)), "layer")
+        if layer.isEmpty():
+            break
+        seen = seen.unionByName(layer)
+    return seen
+
+
+def dense_ids(rows: DataFrame, order: list[str], first: int, id_col: str) -> DataFrame:
+    """rows with ids from `first` on, without gaps, in the order of some columns."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = cut(placed, "placed")
+    starts, at = [], first
+    for part, n in sorted(placed.groupBy("_part").count().collect()):
+        starts.append((part, at))
+        at += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    return placed.join(starts, "_part").withColumn(id_col, F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+
+
 def feed_links(records: DataFrame, known: DataFrame, now: Column) -> DataFrame:
     """New rows for the links of scraped records (url, links, place) and for the pages that they come from: depth 0."""
     origins = records.select("url", "place")

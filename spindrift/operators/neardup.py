@@ -3,18 +3,24 @@
 Rows with one fingerprint are one row of a join (their ids are kept as the smallest and the count), so copies cost
 nothing. `banded` joins on all choices of three of six blocks of the 64 bits: fingerprints that differ in three bits
 agree in three blocks whole, so no pair is missed, and a key of about 32 bits keeps chance meetings few at any scale.
-The single bucket of the top byte, which misses pairs that differ there, is kept as an option.
+Where only the smallest id around a fingerprint is asked for, pairs never become rows: those of one key are compared in
+blocks of bounded size (close_minima), and each gives one row. The single bucket of the top byte, which misses pairs that differ there, is kept as an option.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fingerprints import hamming
 from ..schemas import BUCKET_BITS, DUPLICATE_BITS
+from ..sources.scratch import cut
 
 
 def bucket(simhash: Column) -> Column:
@@ -46,19 +52,77 @@ def close_fingerprints(rows: DataFrame, bits: int = DUPLICATE_BITS, banded: bool
     return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= bits)).select("a", "b").distinct()
 
 
+#: Fingerprints of a block of those that share a key.
+BLOCK = 1_024
+_NONE = np.iinfo(np.int64).max
+
+
+def _minima(s: np.ndarray, side: np.ndarray, values: list[np.ndarray], bits: int, cross: bool) -> list[np.ndarray]:
+    """For each fingerprint the smallest of each value among the others (across the two sides, or all) within `bits` bits."""
+    out = [np.full(len(s), _NONE) for _ in values]
+    for i in range(0, len(s), 256):
+        rows = slice(i, i + 256)
+        close = np.bitwise_count((s[rows, None] ^ s[None, :]).view(np.uint64)) <= bits  # of signed numbers it counts the absolute value's
+        close &= side[rows, None] != side[None, :] if cross else s[rows, None] != s[None, :]
+        for o, v in zip(out, values, strict=True):
+            o[rows] = np.where(close, v[None, :], _NONE).min(1)
+    return out
+
+
+def close_minima(least: DataFrame, values: list[str], bits: int = DUPLICATE_BITS, banded: bool = True) -> DataFrame:
+    """simhash and the smallest of each value (long) among the other fingerprints of least (simhash, values; a row each)
+    that differ in at most `bits` bits. Fingerprints that share a key are cut into blocks by a hash, and each two blocks
+    are compared by themselves, so one key's fingerprints never gather in one task."""
+    n = len(values)
+    each = least.select("simhash", *[F.col(v).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
+    own = keys(F.col("simhash"), bits) if banded else F.array(F.struct(F.lit(0).alias("band"), bucket(F.col("simhash")).cast("long").alias("value")))
+    keyed = each.withColumn("k", F.explode(own)).select("simhash", *[f"v{i}" for i in range(n)], "k.*")
+    full = keyed.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    met = keyed.join(full, ["band", "value"]).withColumn("side", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    dealt = met.select("band", "value", "i", "j", "side", "simhash", *[f"v{i}" for i in range(n)]).repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
+    out = T.StructType([T.StructField("simhash", T.LongType()), *[T.StructField(v, T.LongType()) for v in values]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def solved(cols: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            found = [[np.empty(0, np.int64)] for _ in range(n + 1)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                s = cols[5][a:b]
+                mins = _minima(s, cols[4][a:b], [c[a:b] for c in cols[6:]], bits, cols[2][a] != cols[3][a])
+                hit = np.any([m != _NONE for m in mins], 0)
+                for f, m in zip(found, [s, *mins], strict=True):
+                    f.append(m[hit])
+            done = [np.concatenate(f) for f in found]
+            return pa.RecordBatch.from_arrays([pa.array(done[0]), *[pa.array(d, mask=d == _NONE) for d in done[1:]]], names=out.names)
+
+        for batch in batches:
+            cols = [c.cast(pa.int64()).fill_null(_NONE).to_numpy() for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
+            changed = np.any([np.diff(c) != 0 for c in cols[:4]], 0) if len(cols[0]) > 1 else np.zeros(0, bool)
+            edges = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            yield solved(cols, edges)
+            rest = [c[edges[-1] :] for c in cols]  # the last group may go on
+        if rest is not None and len(rest[0]):
+            yield solved(rest, np.array([0, len(rest[0])]))
+
+    return dealt.mapInArrow(run, out).groupBy("simhash").agg(*[F.min(v).alias(v) for v in values])
+
+
 def first_duplicates(rows: DataFrame, id_col: str, bits: int = DUPLICATE_BITS, banded: bool = True, indexed: DataFrame | None = None) -> DataFrame:
-    """id, duplicate_of: rows that have a near duplicate, with its smallest id.
+    """id, duplicate_of: rows that have a near duplicate, with its smallest id (ids are whole numbers).
 
     A row is a duplicate of one with a smaller id, or of any that is indexed already (indexed: id, simhash), so two rows
     never suppress each other. Ids meet through their fingerprints, each of which has one smallest id.
     """
     own = rows.select(F.col(id_col).alias("id"), "simhash").filter("simhash is not null")
-    ground = own.withColumn("done", F.lit(False)) if indexed is None else own.withColumn("done", F.lit(False)).unionByName(indexed.select(F.col(id_col).alias("id"), "simhash", F.lit(True).alias("done")))
-    least = ground.groupBy("simhash").agg(F.min(F.when(F.col("done"), F.col("id"))).alias("least_done"), F.min(F.when(~F.col("done"), F.col("id"))).alias("least"))
-    pairs = close_fingerprints(ground, bits, banded)
-    near = pairs.select(F.col("a").alias("simhash"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("simhash"), F.col("a").alias("other"))).unionByName(least.select("simhash", F.col("simhash").alias("other")))
-    # For each fingerprint: the smallest ids around it. The own row's id is never smaller than itself.
-    around = near.join(least.withColumnRenamed("simhash", "other"), "other").groupBy("simhash").agg(F.min("least_done").alias("d"), F.min("least").alias("l"))
+    ground = own.withColumn("done", F.lit(False)) if indexed is None else own.withColumn("done", F.lit(False)).unionByName(indexed.select(F.col(id_col).alias("id"), "simhash", F.lit(True).alias("done")).filter("simhash is not null"))
+    least = cut(ground.groupBy("simhash").agg(F.min(F.when(F.col("done"), F.col("id"))).alias("d"), F.min(F.when(~F.col("done"), F.col("id"))).alias("l")), "least")
+    # For each fingerprint: the smallest ids around it, its own among them. The own row's id is never smaller than itself.
+    near = close_minima(least, ["d", "l"], bits, banded).select("simhash", F.col("d").alias("nd"), F.col("l").alias("nl"))
+    around = least.join(near, "simhash", "left").select("simhash", F.least("d", "nd").alias("d"), F.least("l", "nl").alias("l"))
     found = own.join(around, "simhash").select("id", F.least("d", F.when(F.col("l") < F.col("id"), F.col("l"))).alias("duplicate_of"))
     return found.filter("duplicate_of is not null").withColumnRenamed("id", id_col)
 
@@ -67,11 +131,9 @@ def any_duplicates(rows: DataFrame, id_col: str, bits: int = DUPLICATE_BITS, ban
     """id, duplicate_of: the smallest other id among near duplicates of any state, so that copies may suppress each other."""
     own = rows.select(F.col(id_col).alias("id"), "simhash").filter("simhash is not null")
     # The two smallest ids of a fingerprint are enough: one of them is not the row's own.
-    least = own.groupBy("simhash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    second = own.join(least, "simhash").filter("id <> first").groupBy("simhash").agg(F.min("id").alias("second"))
-    two = least.join(second, "simhash", "left").select("simhash", "first", "second")
-    pairs = close_fingerprints(rows, bits, banded)
-    near = pairs.select(F.col("a").alias("simhash"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("simhash"), F.col("a").alias("other")))
-    around = near.join(two.select(F.col("simhash").alias("other"), "first"), "other").groupBy("simhash").agg(F.min("first").alias("near"))
-    found = own.join(two, "simhash").join(around, "simhash", "left")
+    first = own.groupBy("simhash").agg(F.min("id").alias("first"))
+    second = own.join(first, "simhash").filter("id <> first").groupBy("simhash").agg(F.min("id").alias("second"))
+    two = cut(first.join(second, "simhash", "left"), "two")
+    near = close_minima(two.select("simhash", "first"), ["first"], bits, banded).withColumnRenamed("first", "near")
+    found = own.join(two.join(near, "simhash", "left"), "simhash")
     return found.select(F.col("id").alias(id_col), F.least("near", F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))).alias("duplicate_of")).filter("duplicate_of is not null")

@@ -51,7 +51,7 @@ def submit(spec_id: int, raw: DataFrame, targets: DataFrame, now: Column) -> Dat
     return new_urls(raw, known, "url", "place").drop("n_seen").withColumns({"spec_id": F.lit(spec_id), "status": F.lit("pending"), "next_attempt_at": now})
 
 
-def claim_targets(targets: DataFrame, specs: DataFrame, domains: DataFrame, now: Column, batch: int = BATCH_SIZE, strict: bool = True) -> DataFrame:
+def claim_targets(targets: DataFrame, specs: DataFrame, domains: DataFrame, now: Column, batch: int | None = BATCH_SIZE, strict: bool = True) -> DataFrame:
     """As claim(), for targets of active specs, the longest due first; with the spec's render mode."""
     active = specs.filter("is_active").select("spec_id", F.coalesce("render_mode", F.lit("auto")).alias("spec_render_mode"))
     return claim(targets.join(active, "spec_id"), domains, now, batch, strict, "next_attempt_at", "target_id")

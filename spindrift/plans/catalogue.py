@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..functions import urls as U
 from ..operators import attempts as history
 from ..operators import extract, frontier, index, neardup, specs
 from ..sources import replay
-from ..sources.scratch import cut
+from ..sources.scratch import cut, spread
 from . import fixtures as T
 
 NOW = f"TIMESTAMP '{T.NOW}'"
@@ -91,13 +90,13 @@ def claim_lease(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT target_id, url, host, spec_id FROM (SELECT t.*, row_number() OVER (PARTITION BY domain_id ORDER BY next_attempt_at, target_id) AS r FROM targets t
+    f"""SELECT target_id, url, host, spec_id, CASE WHEN spec_id % 2 = 0 THEN 'always' ELSE 'auto' END AS spec_render_mode FROM (SELECT t.*, row_number() OVER (PARTITION BY domain_id ORDER BY next_attempt_at, target_id) AS r FROM targets t
   JOIN (SELECT spec_id FROM specs WHERE is_active) USING (spec_id) WHERE status = 'pending' AND next_attempt_at <= {NOW}) t JOIN hosts USING (domain_id) WHERE r = 1 ORDER BY domain_id LIMIT 20"""
 )
 def claim_scrape_targets(spark: SparkSession, d: str) -> DataFrame:
     u = T.urls(spark, d)
-    s = T.specs(spark).withColumn("render_mode", F.lit(None).cast("string"))
-    return specs.claim_targets(T.targets(u), s, T.domains(u), T.now(), strict=False).select("target_id", "url", "host", "spec_id")
+    s = T.specs(spark).withColumn("render_mode", F.when(F.col("spec_id") % 2 == 0, "always"))
+    return specs.claim_targets(T.targets(u), s, T.domains(u), T.now(), strict=False).select("target_id", "url", "host", "spec_id", "spec_render_mode")
 
 
 @query(
@@ -154,13 +153,15 @@ def recrawl_due(spark: SparkSession, d: str) -> DataFrame:
     return frontier.due_for_recrawl(T.urls(spark, d), T.now()).select("url_id", "status")
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    p = T.pages(spark, d).withColumn("url", U.normalize(F.col("url")))
-    out = extract.extract_pages(p).select("page_id", F.posexplode("links").alias("place", "l"))
-    return out.select("page_id", "place", "l.*")
-
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that a parser reads next, dealt out to all cores where the file has fewer row groups."""
+    return spread(T.pages(spark, d))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d).withColumn("url", U.normalize(F.col("url")))
+    out = extract.extract_pages(p, parts=("links",)).select("page_id", F.posexplode("links").alias("place", "l"))
+    return out.select("page_id", "place", "l.*")
 
 
 @query("SELECT sha256(url) AS url_key, url, (place // 100000 % 4 + 1)::INT AS depth FROM (SELECT url, min(page_id * 100000 + place) AS place FROM links GROUP BY url) WHERE url NOT IN (SELECT url FROM u0)")
@@ -174,7 +175,7 @@ _DECODED = "replace(replace(replace(trim(label), '&lt;', '<'), '&gt;', '>'), '&a
 
 @query(f"SELECT page_id AS from_url_id, sha256(url) AS to_url_key, arg_min(nullif({_DECODED}, ''), place) AS anchor_text FROM links GROUP BY page_id, url")
 def link_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = _links(spark, d).withColumnRenamed("page_id", "from_url_id")
+    found = cut(_links(spark, d), "links").withColumnRenamed("page_id", "from_url_id")
     targets = found.select("url").distinct().withColumn("url_id", U.url_key(F.col("url")))
     out = frontier.add_edges(found, targets)
     return out.select("from_url_id", F.col("to_url_id").alias("to_url_key"), "anchor_text")
@@ -187,16 +188,7 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
 def depth_frontier(spark: SparkSession, d: str) -> DataFrame:
     u = T.urls(spark, d).select("url_id")
     edges = u.select(F.floor(F.col("url_id") / 3).alias("from_id"), F.col("url_id").alias("to_id"))
-    return expand(u.filter("url_id % 50 = 0"), edges)
-
-
-def expand(roots: DataFrame, edges: DataFrame, most: int = frontier.MAX_DEPTH) -> DataFrame:
-    """url_id, depth: what is within `most` steps of the roots. A step joins only the rows of the one before it."""
-    layers = [roots.select("url_id", F.lit(0).alias("depth"))]
-    for k in range(1, most + 1):
-        nxt = layers[-1].join(edges, F.col("url_id") == F.col("from_id")).select(F.col("to_id").alias("url_id"), F.lit(k).alias("depth"))
-        layers.append(nxt.distinct())
-    return reduce(DataFrame.unionByName, layers).groupBy("url_id").agg(F.min("depth").alias("depth"))
+    return frontier.expand(u.filter("url_id % 50 = 0"), edges)
 
 
 @query(
@@ -288,7 +280,7 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def simhash_blake2b(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "documents").select("doc_id", fingerprints.simhash("text").alias("simhash"))
+    return spread(T.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", fingerprints.simhash("text").alias("simhash"))
 
 
 _SIMHASH = """tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS t FROM documents),
@@ -302,12 +294,12 @@ _CLOSE = ", close AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sim a JOIN sim b
 
 def _simhashes(spark: SparkSession, d: str) -> DataFrame:
     """Written once: what follows reads it several times."""
-    return cut(fingerprints.simhash_md5(T.table(spark, d, "documents"), "doc_id", "text"), "simhashes")
+    return cut(simhash_md5(spark, d), "simhashes")
 
 
 @query("SELECT doc_id, simhash FROM sim", _SIMHASH)
 def simhash_md5(spark: SparkSession, d: str) -> DataFrame:
-    return fingerprints.simhash_md5(T.table(spark, d, "documents"), "doc_id", "text")
+    return fingerprints.simhash_md5(spread(T.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("SELECT a.simhash AS a, b.simhash AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM s a JOIN s b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3", _SIMHASH + ", s AS (SELECT DISTINCT simhash FROM sim)")
@@ -348,28 +340,55 @@ def index_pending(spark: SparkSession, d: str) -> DataFrame:
     return index.pending(docs, id_col="doc_id").select("doc_id")
 
 
-@query()
+def _plain(text: str) -> str:
+    """SQL: the test pages' entities as characters."""
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{c}')"
+    return text
+
+
+_TITLE = _plain("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))")
+_LANG = "lower(split_part(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '-', 1))"
+#: The test pages' content is their one article, which holds no boilerplate.
+_TEXT = "trim(regexp_replace(" + _plain("regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
+
+
+@query(
+    f"SELECT page_id, url, url AS canonical_url, title, NULL::VARCHAR AS description, text, lang, len(string_split(text, ' '))::INT AS word_count, sha256(text) AS content_sha256 FROM (SELECT page_id, url, {_TITLE} AS title, {_LANG} AS lang, {_TEXT} AS text FROM pages)"
+)
 def extract_docs(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract_pages(T.pages(spark, d)).drop("links")
+    return extract.extract_pages(_pages(spark, d), parts=("canonical_url", "title", "description", "text", "lang"))
 
 
-@query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, lower(split_part(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '-', 1)) AS lang FROM pages")
+@query(f"SELECT page_id, {_TITLE} AS title, {_LANG} AS lang FROM pages")
 def extract_title_lang(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract_pages(T.pages(spark, d)).select("page_id", "title", "lang")
+    return extract.extract_pages(_pages(spark, d), parts=("title", "lang")).select("page_id", "title", "lang")
 
 
 #: A specification with nested, repeated and attribute fields, by both kinds of selectors.
 PAGE_FIELDS = json.dumps([{"name": "title", "selector": "title"}, {"name": "lang", "selector": "//html/@lang", "selector_type": "xpath"}, {"name": "hrefs", "selector": "nav a[href]", "attr": "href", "many": True}, {"name": "items", "selector": "nav li", "many": True, "fields": [{"name": "label", "selector": "a"}, {"name": "to", "selector": "a", "attr": "href"}]}, {"name": "none", "selector": "#absent"}])
 
 
-@query()
+_ITEM = "struct<label: string, to: string>"
+
+
+@query(
+    f"""SELECT p.page_id, {_TITLE} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, string_agg(o || href, ' ' ORDER BY place) AS hrefs,
+  string_agg({_plain("trim(anchors.label)")} || '>' || o || href, ' ' ORDER BY place) AS items, true AS has_none, string_agg(l.url, ' ' ORDER BY place) AS links
+  FROM (SELECT *, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS o FROM pages) p JOIN anchors USING (page_id) JOIN links l USING (page_id, place) GROUP BY ALL"""
+)
 def scrape_records(spark: SparkSession, d: str) -> DataFrame:
-    return extract.scrape_pages(T.pages(spark, d), PAGE_FIELDS, "hrefs")
+    """The fields of every record, read back from its JSON, and its links."""
+    rows = extract.scrape_pages(_pages(spark, d), PAGE_FIELDS, "hrefs").filter("size(links) > 0")
+    data = F.from_json("data", f"title string, lang string, hrefs array<string>, items array<{_ITEM}>, none string")
+    rows = rows.select("page_id", data.alias("r"), "links")
+    items = F.transform("r.items", lambda x: F.concat(F.trim(x.label), F.lit(">"), x.to))
+    return rows.select("page_id", "r.title", "r.lang", F.array_join("r.hrefs", " ").alias("hrefs"), F.array_join(items, " ").alias("items"), F.col("r.none").isNull().alias("has_none"), F.array_join("links", " ").alias("links"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(split_part(html, '</nav>', 1), '<a href='))::INT AS n_links FROM pages")
 def scrape_nav(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.scrape_pages(T.pages(spark, d), PAGE_FIELDS, "hrefs")
+    rows = extract.scrape_pages(_pages(spark, d), PAGE_FIELDS, "hrefs")
     data = F.from_json("data", "lang string, hrefs array<string>")
     return rows.select("page_id", data.lang.alias("lang"), F.size(data.hrefs).alias("n_links"))
 
@@ -381,7 +400,7 @@ def enroll_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sha256(url) AS url_key, url, 0 AS depth, 100 AS priority FROM (SELECT url FROM links UNION SELECT url FROM norm WHERE page_id IN (SELECT page_id FROM links)) WHERE url NOT IN (SELECT url FROM u0 WHERE url_id % 2 = 0)")
 def feed_links(spark: SparkSession, d: str) -> DataFrame:
-    p = T.pages(spark, d).withColumn("url", U.normalize(F.col("url")))
+    p = _pages(spark, d).withColumn("url", U.normalize(F.col("url")))
     rows = extract.scrape_pages(p, json.dumps([{"name": "all", "selector": "a[href]", "attr": "href", "many": True}]), "all").filter("size(links) > 0")
     fed = frontier.feed_links(rows.withColumnRenamed("page_id", "place"), T.urls(spark, d).filter("url_id % 2 = 0"), T.now())
     return fed.select("url_key", "url", "depth", "priority")
@@ -426,12 +445,19 @@ def blob_keys(spark: SparkSession, d: str) -> DataFrame:
     return u.select("url_id", extract.blob_key("raw", F.col("host"), i, "html").alias("raw_key"), extract.blob_key("text", F.col("host"), i, "txt").alias("text_key"))
 
 
-@query()
+@query(
+    # No two of the pages that a round over the test tables fetches are near duplicates, so that none is suppressed here.
+    f"""SELECT url_id, url, {_TITLE} AS title, NULL::VARCHAR AS description, {_LANG} AS lang, substr({_TEXT}, 1, 50000) AS content
+  FROM (SELECT u.url_id, u.url, domain_id {_CLAIM} AND is_crawlable AND next_available_at <= {NOW}) JOIN (SELECT page_id AS url_id, html FROM pages) USING (url_id)
+  WHERE domain_id % 4 = 2 OR (domain_id % 4 = 1 AND NOT regexp_matches(url, '://[^/]*/(en|es)/'))"""
+)
 def crawl_round(spark: SparkSession, d: str) -> DataFrame:
     """Claim, fetch, extract, suppress near duplicates and make the index payload, for the best due url of every domain that may be crawled."""
-    u = T.urls(spark, d)
+    u = cut(T.urls(spark, d), "urls")
     claimed = frontier.claim(u, T.domains(u), T.now(), batch=None)
-    answers = replay.from_pages(T.pages(spark, d)).withColumn("url", U.normalize(F.col("url"))).dropDuplicates(["url"])
+    pages = T.pages(spark, d)
+    first = pages.join(u.select(F.col("url_id").alias("page_id")), "page_id", "left_semi")  # of pages with one url, the first
+    answers = replay.from_pages(first).withColumn("url", U.normalize(F.col("url")))
     fetched = replay.fetch_allowed(claimed, answers, _robots(u)).filter(fetching.has_body(F.col("outcome"), F.octet_length("body")))
     docs = cut(extract.extract_pages(fetched.select("url_id", "host", "url", F.col("body").alias("html"))).drop("links"), "extracted")
     drained = index.drain(docs.withColumn("index_state", F.lit("pending")), T.now())

@@ -64,3 +64,9 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
     return written(df, label)[0]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that gives fewer tasks than there are cores (one row group is one task), dealt out to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -97,3 +97,65 @@ def test_crawl_round_takes_every_due_domain(spark, monkeypatch):
     monkeypatch.setattr(catalogue.T, "pages", lambda spark, d: made)
     assert {r.url for r in catalogue.crawl_round(spark, "").collect()} <= {f"https://h{i}.example/" for i in range(n - 3, n)}
     assert catalogue.crawl_round(spark, "").count() >= 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_enroll_has_no_cross_join(spark):
+    rows = [(i, f"https://h{i % 3}/p{i}", f"k{i}", f"h{i % 3}") for i in range(30)]
+    u = spark.createDataFrame(rows, "domain_id long, url string, url_key string, host string")
+    s = [(k, None if k % 2 else f"h{k % 3}", None if k % 5 == 0 else f"p{k}") for k in range(12)]
+    sp = spark.createDataFrame([(*x, True, True) for x in s], "spec_id long, host_pattern string, path_regex string, feed_from_crawler boolean, is_active boolean")
+    want = {(k, url) for k, h, p in s for _, url, _, host in rows if (h is None or h == host) and (p is None or p in url)}
+    for block in (200, 2):
+        got = frontier.enroll(u, sp, block=block)
+        assert "CartesianProduct" not in plan(got) and "NestedLoop" not in plan(got)
+        found = [(r.spec_id, r.url) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_expand_reads_layers_once(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(5, 0), (0, 2)], "from_id long, to_id long")
+    got = frontier.expand(spark.createDataFrame([(0,), (0,)], "url_id long"), edges)
+    assert {r.url_id: r.depth for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6}
+    assert plan(got).count("FileScan parquet") <= 8 and got.count() == 8
+
+
+def test_claim_orders_by_three_columns_alone(spark):
+    u = urls(spark, *[(i, i % 3, f"u{i}", i % 2, "pending", PAST) for i in range(30)])
+    d = spark.createDataFrame([(k, f"h{k}", True, PAST, 1000, False, 0) for k in range(3)], DOMAINS)
+    got = frontier.claim(u, d, now())
+    assert sorted((r.domain_id, r.url_id, r.url) for r in got.collect()) == [(0, 3, "u3"), (1, 1, "u1"), (2, 5, "u5")]
+    for line in plan(got).splitlines():
+        assert not ("SortAggregate" in line and "url#" in line)
+
+
+def test_ids_have_no_gaps(spark):
+    rows = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "place long").repartition(7)
+    got = frontier.dense_ids(rows, ["place"], 11, "id").collect()
+    assert sorted((r.place, r.id) for r in got) == [(i, i + 11) for i in range(1000)]
+    assert frontier.dense_ids(rows.limit(0), ["place"], 1, "id").collect() == []
+
+
+def test_minima_of_dense_fingerprints(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(4)]
+    rows = []
+    for i in range(300):
+        s = base[0] if i % 3 == 0 else rng.choice(base)
+        for _ in range(rng.randint(0, 4)):
+            s ^= -1 << 63 if rng.random() < 0.1 else 1 << rng.randrange(63)
+        rows.append((i * 7 % 300, s))
+    df = spark.createDataFrame(rows, "id long, simhash long")
+    near = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 3
+    want = {i: min((j for j, t in rows if j != i and near(s, t)), default=None) for i, s in rows}
+    assert {r.id: r.duplicate_of for r in neardup.any_duplicates(df, "id").collect()} == {i: j for i, j in want.items() if j is not None}
+    first = {i: min((j for j, t in rows if j < i and near(s, t)), default=None) for i, s in rows}
+    assert {r.id: r.duplicate_of for r in neardup.first_duplicates(df, "id").collect()} == {i: j for i, j in first.items() if j is not None}
+    top = {i: min((j for j, t in rows if j != i and near(s, t) and s >> 56 == t >> 56), default=None) for i, s in rows}
+    assert {r.id: r.duplicate_of for r in neardup.any_duplicates(df, "id", banded=False).collect()} == {i: j for i, j in top.items() if j is not None}

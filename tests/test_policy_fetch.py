@@ -23,6 +23,35 @@ def test_unknown_host_is_closed(spark):
     assert {r.url: r.allowed for r in got} == {"https://a/x": True, "https://a/private/y": False, "https://b/x": False}
 
 
+def test_rules_are_those_of_the_parser(spark):
+    import random
+    from urllib.robotparser import RobotFileParser
+
+    from spindrift.schemas import USER_AGENT
+
+    rng = random.Random(3)
+    parts = ["/", "/a", "/a/b", "/private", "/x?y=1", "/%7Euser", "/é", "/*", "", "/a;p", "//a"]
+    bodies = ["\n".join([f"User-agent: {rng.choice(['*', 'MyCrawler', 'other'])}", *[f"{rng.choice(['Disallow', 'Allow'])}: {rng.choice(parts)}" for _ in range(rng.randint(0, 5))], "", f"User-agent: {rng.choice(['*', 'other'])}", f"Disallow: {rng.choice(parts)}"]) for _ in range(40)]
+    rows = [(f"h{k}", f"https://h{k}{p}{q}") for k in range(40) for p in [*parts, "/a//b/", "/private/x.html"] for q in ("", "z", "?a=%2F#f")]
+    answers = spark.createDataFrame([(f"h{k}", b, 200) for k, b in enumerate(bodies)], "host string, body string, status int")
+    policies = replay.robots(answers).withColumn("is_crawlable", F.lit(True))
+    got = policy.robots_allowed(spark.createDataFrame(rows, "host string, url string"), policies).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        parser = RobotFileParser()
+        parser.parse(bodies[int(r.host[1:])].splitlines())
+        assert r.allowed == parser.can_fetch(USER_AGENT, r.url), (bodies[int(r.host[1:])], r.url)
+
+
+def test_unchanged_pages_and_charsets(spark):
+    tasks = spark.createDataFrame([("u1", None, "Wed, 21 Oct 2015 07:28:00 GMT"), ("u2", None, "Wed, 21 Oct 2015 07:28:00 GMT"), ("u3", "old", "Wed, 21 Oct 2015 07:28:00 GMT"), ("u4", None, None), ("u5", None, None)], "url string, etag string, last_modified string")
+    kind = "text/html; charset=ISO-8859-1"
+    answers = [("u1", 200, kind, "e", "Wed, 21 Oct 2015 07:28:00 GMT", b"x", None, 1), ("u2", 200, kind, "e", "Thu, 22 Oct 2015 07:28:00 GMT", "é".encode("latin-1"), None, 1), ("u3", 200, kind, "new", "Wed, 21 Oct 2015 07:28:00 GMT", b"x", None, 1), ("u4", 200, "text/html; charset=none-such", None, None, "é".encode(), None, 1), ("u5", 200, "text/html", None, None, b"\xff", None, 1)]
+    got = {r.url: r for r in replay.fetch(tasks, spark.createDataFrame([(*a[:5], bytearray(a[5]), *a[6:]) for a in answers], replay.RESPONSES.replace("body string", "body binary"))).collect()}
+    assert [got[f"u{i}"].outcome for i in range(1, 6)] == ["not_modified", "ok", "ok", "ok", "ok"]
+    assert (got["u1"].body, got["u2"].body, got["u4"].body, got["u5"].body) == (None, "é", "é", "\ufffd")
+
+
 def test_challenges_come_in_order(spark):
     bodies = ["<p>reCAPTCHA</p>", "a captcha", "Just a moment... Cloudflare", "Access Denied", "fine", None]
     rows = spark.createDataFrame([(b,) for b in bodies], "b string").select(fetching.challenge_type(F.col("b")).alias("c")).collect()
