@@ -183,27 +183,37 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT url_id, min(depth) AS depth FROM walk GROUP BY url_id",
-    "walk AS (SELECT url_id, 0 AS depth FROM urls WHERE url_id % 50 = 0 UNION SELECT e.to_id, w.depth + 1 FROM walk w JOIN (SELECT url_id // 3 AS from_id, url_id AS to_id FROM urls) e ON e.from_id = w.url_id WHERE w.depth < 6)",
+    "edges AS (SELECT url_id // 3 AS from_id, url_id AS to_id FROM urls WHERE url_id // 3 <> url_id AND url_id // 3 IN (SELECT url_id FROM urls)), "
+    "walk AS (SELECT url_id, 0 AS depth FROM urls WHERE url_id NOT IN (SELECT to_id FROM edges) UNION SELECT e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.url_id WHERE w.depth < 6)",
 )
 def depth_frontier(spark: SparkSession, d: str) -> DataFrame:
-    u = T.urls(spark, d).select("url_id")
-    edges = u.select(F.floor(F.col("url_id") / 3).alias("from_id"), F.col("url_id").alias("to_id"))
-    return frontier.expand(u.filter("url_id % 50 = 0"), edges)
+    """All urls, walked from every one that no other leads to. No page of the tables links to another, so edges follow from the ids."""
+    u = cut(T.urls(spark, d).select("url_id"), "urls")
+    pairs = u.select(F.floor(F.col("url_id") / 3).alias("from_id"), F.col("url_id").alias("to_id")).filter("from_id <> to_id")
+    edges = cut(pairs.join(u.withColumnRenamed("url_id", "from_id"), "from_id", "left_semi"), "edges")
+    return frontier.expand(u.join(edges.select(F.col("to_id").alias("url_id")), "url_id", "left_anti"), edges)
+
+
+_THIN = """regexp_matches(html, '(?i)<(div|main)[^>]+id=["''](root|app|__next|__nuxt)["''][^>]*>\\s*</') OR w < 80"""
+_WORDS = "len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))::INT"
 
 
 @query(
-    "SELECT host, (js_evidence_count + coalesce(n, 0))::INT AS js_evidence_count, js_required OR (n IS NOT NULL AND js_evidence_count + n >= 3) AS js_required FROM domains LEFT JOIN (SELECT host, count(*) AS n FROM urls WHERE url_id % 9 = 0 GROUP BY host) USING (host)"
+    "SELECT host, (js_evidence_count + coalesce(n, 0))::INT AS js_evidence_count, js_required OR (n IS NOT NULL AND js_evidence_count + n >= 3) AS js_required FROM domains "
+    f"LEFT JOIN (SELECT {T._HOST} AS host, count(*) AS n FROM (SELECT page_id, html, {_WORDS} AS w FROM pages) JOIN norm USING (page_id) WHERE {_THIN} GROUP BY 1) USING (host)"
 )
 def js_evidence(spark: SparkSession, d: str) -> DataFrame:
-    u = T.urls(spark, d)
-    return frontier.js_evidence(T.domains(u), u.filter("url_id % 9 = 0")).select("host", "js_evidence_count", "js_required")
+    """Evidence from every page that is too thin without a browser."""
+    thin = T.pages(spark, d).filter(fetching.needs_render(F.col("html"))).select(U.registrable_host(U.normalize(F.col("url"))).alias("host"))
+    return frontier.js_evidence(T.domains(T.urls(spark, d)), thin).select("host", "js_evidence_count", "js_required")
 
 
-@query("SELECT domain_id, (10 + coalesce(n, 0))::BIGINT AS pages_discovered FROM domains LEFT JOIN (SELECT domain_id, count(*) AS n FROM urls WHERE url_id % 2 = 0 GROUP BY domain_id) USING (domain_id)")
+@query("SELECT domain_id, (10 + n)::BIGINT AS pages_discovered FROM domains JOIN (SELECT domain_id, count(*) AS n FROM urls GROUP BY domain_id) USING (domain_id)")
 def domain_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters raised by every url of a domain."""
     u = T.urls(spark, d)
     start = T.domains(u).withColumn("pages_discovered", F.lit(10).cast("long"))
-    return frontier.domain_counters(start, u.filter("url_id % 2 = 0"), "pages_discovered").select("domain_id", "pages_discovered")
+    return frontier.domain_counters(start, u, "pages_discovered").select("domain_id", "pages_discovered")
 
 
 @query("SELECT id, status_code, CASE WHEN status_code = 403 THEN 'forbidden' WHEN status_code = 429 THEN 'rate_limited' WHEN status_code BETWEEN 500 AND 599 THEN 'server_error' WHEN status_code BETWEEN 400 AND 499 THEN 'client_error' ELSE 'other' END AS error_kind FROM attempts")
@@ -223,10 +233,7 @@ def challenge_detect(spark: SparkSession, d: str) -> DataFrame:
     return T.pages(spark, d).select("page_id", fetching.challenge_type(body).alias("challenge"))
 
 
-@query(
-    """SELECT page_id, regexp_matches(html, '(?i)<(div|main)[^>]+id=["''](root|app|__next|__nuxt)["''][^>]*>\\s*</') OR w < 80 AS needs_render, w AS visible_words FROM (SELECT page_id, html,
-  len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))::INT AS w FROM pages)"""
-)
+@query(f"SELECT page_id, {_THIN} AS needs_render, w AS visible_words FROM (SELECT page_id, html, {_WORDS} AS w FROM pages)")
 def needs_render(spark: SparkSession, d: str) -> DataFrame:
     return T.pages(spark, d).select("page_id", fetching.needs_render(F.col("html")).alias("needs_render"), fetching.visible_words(F.col("html")).alias("visible_words"))
 
