@@ -6,8 +6,11 @@ An operator that adds columns of its own to a table of any columns packs that ta
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import cut, scratch, shared_dir
 
-__all__ = ["SLICE_BYTES", "Files", "append", "attach", "cut", "hot_join", "name", "numbered", "packed", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["SLICE_BYTES", "Files", "append", "attach", "cut", "hot_join", "lean", "name", "numbered", "packed", "scratch", "shared_dir", "slices", "table"]
 
 #: A batch is cut into slices of about this many bytes before Python holds intermediate values for it.
 SLICE_BYTES = 8 << 20
@@ -57,6 +60,30 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             yield b.slice(i, step)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns free memory, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, whose worker returns what it has freed to the system at the end of each task.
+
+    Workers live on for later tasks, and an executor has more of them than cores once a task has had two passes: they take
+    turns, so none is idle for long enough to be ended, and each would keep the memory of its largest task.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:  # run's own values are gone here
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return task
+
+
 def append(df: DataFrame, inputs: list[str | tuple[str, str]], fields: list[T.StructField], make: Callable[[], Callable[..., list]], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """df's columns (or `keep` of them) followed by `fields`, computed a slice of Arrow rows at a time without a shuffle.
 
@@ -83,7 +110,7 @@ def append(df: DataFrame, inputs: list[str | tuple[str, str]], fields: list[T.St
             schema = pa.schema([*[b.schema.field(i).with_name(c) for i, c in enumerate(keep)], *made_schema])
             yield pa.RecordBatch.from_arrays([*b.columns[:nk], *made], schema=schema)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(lean(run), out)
 
 
 class Files:
@@ -160,7 +187,7 @@ def attach(rows: DataFrame, side: DataFrame, only: bool = False) -> DataFrame:
                     cols = [v.take(pa.array(spot, mask=~hit)) for v in values]
                     yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema=pa.schema([*part.schema, *schema]))
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = 1000) -> DataFrame:

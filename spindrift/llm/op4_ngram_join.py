@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append, attach, cut, hot_join, name, numbered, table
+from .common import append, attach, cut, hot_join, lean, name, numbered, table
 from .components import components
 
 GRAM = 5
@@ -372,7 +372,7 @@ def _groups(members: DataFrame, likeness: float) -> DataFrame:
     met = buckets.join(full, "band").join(members.select("key", "sig"), "key")
     dealt = _blocks(met, F.ceil(F.col("size") / BUCKET_BLOCK), "key").select("band", "i", "j", "side", "key", "sig")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return components(dealt.mapInArrow(lambda batches: candidate_edges(batches, likeness), EDGE), "u", "v")
+    return components(dealt.mapInArrow(lean(lambda batches: candidate_edges(batches, likeness)), EDGE), "u", "v")
 
 
 def _links(signed: DataFrame, members: DataFrame, found: DataFrame, text_col: str, likeness: float) -> DataFrame:
@@ -385,7 +385,7 @@ def _links(signed: DataFrame, members: DataFrame, found: DataFrame, text_col: st
     grams = append(texts, ["text"], [T.StructField("grams", T.BinaryType())], _regrammer, keep=["root", "n_blocks", "key", "copies"])
     dealt = _blocks(grams, F.col("n_blocks"), "key").select("root", "i", "j", "side", "key", "copies", "grams")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return cut(dealt.mapInArrow(lambda batches: verified(batches, likeness), LINK), "links")
+    return cut(dealt.mapInArrow(lean(lambda batches: verified(batches, likeness)), LINK), "links")
 
 
 def _joined(signed: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:

@@ -561,6 +561,23 @@ def test_append_with_any_names(spark):
     assert got.columns == ["te`xt", "A.B"] and {tuple(r) for r in got.collect()} == {("a", 1), (None, 0)}
 
 
+def test_workers_return_memory_after_a_task(spark):
+    def make():
+        import os
+        import sys
+
+        held = [bytes(1000) for _ in range(300_000)]
+        sys.spindrift_last = bytes(1000)  # above the others, so that the C library cannot shrink its heap by itself
+        return lambda ids: [[os.getpid() if held else 0] * len(ids)]
+
+    df = spark.range(0, 8, 1, 1)
+    pids = {r.pid for r in append(df, ["id"], [op1.T.StructField("pid", op1.T.LongType())], make).collect()}
+    for pid in pids:
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            anon = sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+        assert anon < 250, anon
+
+
 def test_every_labelled_language_is_sampled(spark, monkeypatch):
     rows = [(k * 100 + i, f"text {i} of language {k}", f"l{k:03}") for k in range(70) for i in range(3 if k else 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
