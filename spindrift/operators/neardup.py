@@ -3,8 +3,8 @@
 Rows with one fingerprint are one row of a join (their ids are kept as the smallest and the count), so copies cost
 nothing. `banded` joins on all choices of three of six blocks of the 64 bits: fingerprints that differ in three bits
 agree in three blocks whole, so no pair is missed, and a key of about 32 bits keeps chance meetings few at any scale.
-Where only the smallest id around a fingerprint is asked for, pairs never become rows: those of one key are compared in
-blocks of bounded size (close_minima), and each gives one row. The single bucket of the top byte, which misses pairs that differ there, is kept as an option.
+Fingerprints of one key are compared in blocks of bounded size. Where only the smallest id around a fingerprint is asked
+for, pairs never become rows (close_minima): each gives one row. The single bucket of the top byte, which misses pairs that differ there, is kept as an option.
 """
 
 from __future__ import annotations
@@ -44,17 +44,46 @@ def keys(simhash: Column, bits: int = DUPLICATE_BITS, agreeing: int = 3) -> Colu
     return F.array(*[F.struct(F.lit(k).alias("band"), simhash.bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks(bits, agreeing))])
 
 
-def close_fingerprints(rows: DataFrame, bits: int = DUPLICATE_BITS, banded: bool = True, simhash_col: str = "simhash") -> DataFrame:
-    """a, b: the different fingerprints, a < b, that differ in at most `bits` bits."""
-    each = rows.filter(F.col(simhash_col).isNotNull()).select(F.col(simhash_col).alias("s")).distinct()
-    keyed = each.select("s", F.explode(keys(F.col("s"), bits)).alias("k")).select("s", "k.*") if banded else each.select("s", F.lit(0).alias("band"), bucket(F.col("s")).alias("value"))
-    left, right = keyed.withColumnRenamed("s", "a"), keyed.withColumnRenamed("s", "b")
-    return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= bits)).select("a", "b").distinct()
-
-
 #: Fingerprints of a block of those that share a key.
 BLOCK = 1_024
 _NONE = np.iinfo(np.int64).max
+#: Pairs that a task holds before it hands them on.
+_PAIRS = 65_536
+
+
+def _dealt(each: DataFrame, bits: int, banded: bool) -> DataFrame:
+    """band, value, i, j, side and each's columns (simhash, values; a row each): fingerprints that share a key, cut into
+    blocks by a hash, with those of blocks i and j together, so one key's fingerprints never gather in one task.
+
+    Spark takes a row of `keyed` for one of `each`, so its own choice of join would send the keys of all to the driver.
+    """
+    own = keys(F.col("simhash"), bits) if banded else F.array(F.struct(F.lit(0).alias("band"), bucket(F.col("simhash")).cast("long").alias("value")))
+    keyed = each.withColumn("k", F.explode(own)).select(*each.columns, "k.*")
+    full = keyed.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    met = keyed.join(full.hint("merge"), ["band", "value"]).withColumn("side", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    return met.select("band", "value", "i", "j", "side", *each.columns).repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of _dealt()'s rows, a batch at a time, and the edges of their groups, each of which is whole."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.cast(pa.int64()).fill_null(_NONE).to_numpy() for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
+        changed = np.any([np.diff(c) != 0 for c in cols[:4]], 0) if len(cols[0]) > 1 else np.zeros(0, bool)
+        edges = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        yield cols, edges
+        rest = [c[edges[-1] :] for c in cols]  # the last group may go on
+    if rest is not None and len(rest[0]):
+        yield rest, np.array([0, len(rest[0])])
+
+
+def _near(s: np.ndarray, side: np.ndarray, rows: slice, bits: int, cross: bool) -> np.ndarray:
+    """For each of some fingerprints, which of the others (across the two sides, or all) are within `bits` bits."""
+    close = np.bitwise_count((s[rows, None] ^ s[None, :]).view(np.uint64)) <= bits  # of signed numbers it counts the absolute value's
+    return close & (side[rows, None] != side[None, :] if cross else s[rows, None] != s[None, :])
 
 
 def _minima(s: np.ndarray, side: np.ndarray, values: list[np.ndarray], bits: int, cross: bool) -> list[np.ndarray]:
@@ -62,31 +91,51 @@ def _minima(s: np.ndarray, side: np.ndarray, values: list[np.ndarray], bits: int
     out = [np.full(len(s), _NONE) for _ in values]
     for i in range(0, len(s), 256):
         rows = slice(i, i + 256)
-        close = np.bitwise_count((s[rows, None] ^ s[None, :]).view(np.uint64)) <= bits  # of signed numbers it counts the absolute value's
-        close &= side[rows, None] != side[None, :] if cross else s[rows, None] != s[None, :]
+        close = _near(s, side, rows, bits, cross)
         for o, v in zip(out, values, strict=True):
             o[rows] = np.where(close, v[None, :], _NONE).min(1)
     return out
 
 
+def close_fingerprints(rows: DataFrame, bits: int = DUPLICATE_BITS, banded: bool = True, simhash_col: str = "simhash") -> DataFrame:
+    """a, b: the different fingerprints, a < b, that differ in at most `bits` bits; of the keys that a pair shares, the first gives it."""
+    each = rows.filter(F.col(simhash_col).isNotNull()).select(F.col(simhash_col).alias("simhash")).distinct()
+    cuts = np.array(masks(bits) if banded else [0], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+        for cols, edges in _groups(batches):
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                s, side, band, cross = cols[5][lo:hi], cols[4][lo:hi], cols[0][lo], cols[2][lo] != cols[3][lo]
+                for i in range(0, len(s), 256):
+                    x, y = np.nonzero(_near(s, side, slice(i, i + 256), bits, cross))
+                    a, b = s[x + i], s[y]
+                    a, b = a[a < b], b[a < b]
+                    first = (((a ^ b)[:, None] & cuts[None, :]) == 0).argmax(1) == band
+                    found.append((a[first], b[first]))
+                    n += len(found[-1][0])
+                    if n >= _PAIRS:
+                        yield _pairs(found)
+                        found, n = [], 0
+        if n:
+            yield _pairs(found)
+
+    return _dealt(each, bits, banded).mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+
 def close_minima(least: DataFrame, values: list[str], bits: int = DUPLICATE_BITS, banded: bool = True) -> DataFrame:
     """simhash and the smallest of each value (long) among the other fingerprints of least (simhash, values; a row each)
-    that differ in at most `bits` bits. Fingerprints that share a key are cut into blocks by a hash, and each two blocks
-    are compared by themselves, so one key's fingerprints never gather in one task."""
+    that differ in at most `bits` bits."""
     n = len(values)
     each = least.select("simhash", *[F.col(v).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
-    own = keys(F.col("simhash"), bits) if banded else F.array(F.struct(F.lit(0).alias("band"), bucket(F.col("simhash")).cast("long").alias("value")))
-    keyed = each.withColumn("k", F.explode(own)).select("simhash", *[f"v{i}" for i in range(n)], "k.*")
-    full = keyed.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    met = keyed.join(full, ["band", "value"]).withColumn("side", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    dealt = met.select("band", "value", "i", "j", "side", "simhash", *[f"v{i}" for i in range(n)]).repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
     out = T.StructType([T.StructField("simhash", T.LongType()), *[T.StructField(v, T.LongType()) for v in values]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def solved(cols: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        for cols, edges in _groups(batches):
             found = [[np.empty(0, np.int64)] for _ in range(n + 1)]
             for a, b in zip(edges, edges[1:], strict=False):
                 s = cols[5][a:b]
@@ -95,20 +144,9 @@ def close_minima(least: DataFrame, values: list[str], bits: int = DUPLICATE_BITS
                 for f, m in zip(found, [s, *mins], strict=True):
                     f.append(m[hit])
             done = [np.concatenate(f) for f in found]
-            return pa.RecordBatch.from_arrays([pa.array(done[0]), *[pa.array(d, mask=d == _NONE) for d in done[1:]]], names=out.names)
-
-        for batch in batches:
-            cols = [c.cast(pa.int64()).fill_null(_NONE).to_numpy() for c in batch.columns]
-            if rest is not None:
-                cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
-            changed = np.any([np.diff(c) != 0 for c in cols[:4]], 0) if len(cols[0]) > 1 else np.zeros(0, bool)
-            edges = np.concatenate([[0], np.flatnonzero(changed) + 1])
-            yield solved(cols, edges)
-            rest = [c[edges[-1] :] for c in cols]  # the last group may go on
-        if rest is not None and len(rest[0]):
-            yield solved(rest, np.array([0, len(rest[0])]))
-
-    return dealt.mapInArrow(run, out).groupBy("simhash").agg(*[F.min(v).alias(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(done[0]), *[pa.array(d, mask=d == _NONE) for d in done[1:]]], names=out.names)
+
+    return _dealt(each, bits, banded).mapInArrow(run, out).groupBy("simhash").agg(*[F.min(v).alias(v) for v in values])
 
 
 def first_duplicates(rows: DataFrame, id_col: str, bits: int = DUPLICATE_BITS, banded: bool = True, indexed: DataFrame | None = None) -> DataFrame:

@@ -159,3 +159,23 @@ def test_minima_of_dense_fingerprints(spark, monkeypatch):
     assert {r.id: r.duplicate_of for r in neardup.first_duplicates(df, "id").collect()} == {i: j for i, j in first.items() if j is not None}
     top = {i: min((j for j, t in rows if j != i and near(s, t) and s >> 56 == t >> 56), default=None) for i, s in rows}
     assert {r.id: r.duplicate_of for r in neardup.any_duplicates(df, "id", banded=False).collect()} == {i: j for i, j in top.items() if j is not None}
+
+
+def test_close_fingerprints(spark, monkeypatch):
+    """Each close pair once, compared in blocks; no keys are sent to the driver, however small their table is held to be."""
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(7)
+    s = [rng.getrandbits(64) for _ in range(20)]
+    s += [x ^ sum(1 << b for b in rng.sample(range(64), k)) for x in s for k in range(5)]
+    s += [s[0] ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i)]
+    s = sorted({x - (1 << 64) if x >> 63 else x for x in s})
+    want = {(a, b) for i, a in enumerate(s) for b in s[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    pairs = neardup.close_fingerprints(spark.createDataFrame([(x,) for x in [*s, s[0], None]], "simhash long"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    top = neardup.close_fingerprints(spark.createDataFrame([(x,) for x in s], "simhash long"), banded=False)
+    assert sorted(map(tuple, top.collect())) == sorted((a, b) for a, b in want if a >> 56 == b >> 56)
+    written = neardup.cut(spark.createDataFrame([(x, x) for x in s], "simhash long, l long"), "least")
+    assert "Broadcast" not in neardup.close_minima(written, ["l"])._jdf.queryExecution().executedPlan().toString()
