@@ -181,10 +181,12 @@ RECORD = T.StructType([T.StructField("data", T.StringType()), T.StructField("lin
 
 
 def scrape_record(body: str | None, base: str, fields: list[Field], link_field: str | None) -> dict | None:
-    """{data, links} of a page: its fields as JSON, and the canonical URLs of the field that holds links."""
+    """{data, links} of a page: its fields as JSON, and the canonical URLs of the field that holds links.
+
+    References need their semicolon here, as in the reference's scraper, whose parser is libxml2; page_of() reads them as HTML does."""
     if not body:
         return None
-    tree = dom.parse(body)
+    tree = dom.parse(body, closed=True)
     for n in tree.walk():
         for a in ("href", "src", "action"):
             if n.attrs.get(a):

@@ -56,6 +56,16 @@ def test_selectors():
     assert dom.xpath(t, "//li[contains(@class,'b')]/@class") == ["a b"]
 
 
+def test_open_references():
+    """A record keeps a reference without a semicolon, an extracted page reads it as HTML does; scripts are as they were."""
+    html = "<html><title>a&amp;&amp;&am; b&amp</title><script>x&amp&lt;y</script><a href='/q?a=1&copy=2&amp;b'>&#65 &nosuch; &lt</a>"
+    fields = [extract.Field.read(f) for f in ({"name": "t", "selector": "title"}, {"name": "s", "selector": "script"}, {"name": "a", "selector": "a"}, {"name": "h", "selector": "a", "attr": "href"})]
+    r = json.loads(extract.scrape_record(html, "https://e.com/", fields, None)["data"])
+    assert r == {"t": "a&&&am; b&amp", "s": "x&amp&lt;y", "a": "A &nosuch; &lt", "h": "https://e.com/q?a=1&copy=2&b"}
+    assert extract.page_of(html, "https://e.com/", ("title",))["title"] == "a&&&am; b&"
+    assert dom.parse("<p>\ufdd0 &amp", closed=True).text() == "\ufdd0 &amp"
+
+
 def test_simhash():
     assert simhash_of("") == 0 and simhash_of(None) is None
     assert simhash_of("a b") == simhash_of("ab") and simhash_of("The quick brown fox") == simhash_of("the QUICK brown fox")
