@@ -51,6 +51,10 @@ def canonical_udf(raw: pd.Series) -> pd.Series:
     return raw.map(canonical, na_action="ignore")
 
 
+# Spark repeats a function that it holds for deterministic in each filter on its result, with a Python worker for each.
+canonical_udf = canonical_udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def canonical_from_udf(raw: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([canonical(r, b) for r, b in zip(raw, base, strict=True)], dtype=object)

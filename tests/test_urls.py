@@ -47,3 +47,12 @@ def test_hosts_and_origins(spark):
     rows = spark.createDataFrame([("https://www.A.com:8080/x",), ("http://b.com:80/",), ("ftp://c.com/",), ("nothing",)], "u string")
     got = rows.select(U.registrable_host(F.col("u")).alias("h"), U.robots_origin(F.col("u")).alias("o")).collect()
     assert [tuple(r) for r in got] == [("a.com", "https://www.a.com:8080"), ("b.com", "http://b.com"), ("c.com", None), (None, None)]
+
+
+def test_normalize_runs_once(spark):
+    """A filter on what normalize() gives takes no second pass of Python."""
+    from spindrift.operators import frontier
+
+    urls = frontier.new_urls(spark.createDataFrame([("http://e.com/a b", 1), ("mailto:x", 2), (None, 3)], "url string, place long"), place_col="place")
+    assert urls._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython") == 1
+    assert [r.url for r in urls.collect()] == ["http://e.com/a b"]
