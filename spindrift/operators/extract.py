@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as dom
 from ..functions.fingerprints import simhash_of
+from ..functions.passes import append, name
 from ..functions.urls import canonical
 
 #: Fixed value: elements that are not part of a page's content.
@@ -117,19 +120,37 @@ def page_of(body: str | None, base: str, parts: tuple[str, ...] = tuple(PAGE.nam
     return out
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", parts: tuple[str, ...] = tuple(PAGE.names)) -> DataFrame:
-    """pages but for their html, with what they say (of the parts that are asked for; with the text, also word_count and
-    content_sha256); pages without content are left out."""
-    kept = [c for c in pages.columns if c != html_col]
-    schema = T.StructType([T.StructField("found", T.BooleanType()), *[f for f in PAGE.fields if f.name in parts]])
+def _read(rows: DataFrame, inputs: list[str], fields: list[T.StructField], one: Callable[..., dict | None], raw: bool, left_out: set[str]) -> DataFrame:
+    """rows but for the columns left out, with _found and the fields of what `one` makes of each; the first two inputs are
+    the html and the url. raw: urls become canonical on the way. Spark sees a pass that it can't repeat for a filter."""
+    url_col = inputs[1]
+    kept = [c for c in rows.columns if c not in left_out]
+    put = [T.StructField("_found", T.BooleanType()), *([T.StructField("_url", T.StringType())] if raw else []), *fields]
+
+    def make() -> Callable[..., list]:
+        def run(*columns: pa.Array) -> list:
+            bodies, urls, *more = (c.to_pylist() for c in columns)
+            urls = [canonical(u) for u in urls] if raw else urls
+            out: list[list] = [[] for _ in fields]
+            found = []
+            for x in zip(bodies, urls, *more, strict=True):
+                r = one(*x)
+                found.append(r is not None)
+                for o, f in zip(out, fields, strict=True):
+                    o.append(r and r[f.name])
+            return [found, *([urls] if raw else []), *out]
+
+        return run
+
+    done = append(rows, inputs, put, make, keep=kept)
+    return done.select("_found", *[F.col("_url").alias(c) if raw and c == url_col else name(c) for c in kept], *[f.name for f in fields])
 
-    @F.pandas_udf(schema)
-    def read(body: pd.Series, base: pd.Series) -> pd.DataFrame:
-        rows = [page_of(b, u, parts) for b, u in zip(body, base, strict=True)]
-        none = dict.fromkeys(schema.names)
-        return pd.DataFrame([none | {"found": r is not None} | (r or {}) for r in rows], columns=schema.names, dtype=object).astype({"found": bool} | ({"simhash": "Int64"} if "simhash" in parts else {}))
 
-    out = pages.withColumn("_p", read(F.col(html_col), F.col(url_col))).filter("_p.found").select(*kept, *[f"_p.{n}" for n in schema.names[1:]])
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", parts: tuple[str, ...] = tuple(PAGE.names), raw: bool = False) -> DataFrame:
+    """pages but for their html, with what they say (of the parts that are asked for; with the text, also word_count and
+    content_sha256); pages without content are left out. raw: their urls are not canonical yet."""
+    fields = [f for f in PAGE.fields if f.name in parts]
+    out = _read(pages, [html_col, url_col], fields, lambda body, base: page_of(body, base, parts), raw, {html_col}).filter("_found").drop("_found")
     if "text" not in parts:
         return out
     words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
@@ -160,6 +181,11 @@ def read_fields(text: str) -> list[Field]:
     return [Field.read(d) for d in json.loads(text)]
 
 
+@lru_cache(1_000)
+def _read_once(text: str) -> list[Field]:
+    return read_fields(text)
+
+
 def _taken(found: dom.Node | str, attr: str | None) -> str | None:
     if isinstance(found, str):
         return found.strip() or None
@@ -197,24 +223,21 @@ def scrape_record(body: str | None, base: str, fields: list[Field], link_field:
     return {"data": json.dumps(data, ensure_ascii=False), "links": [u for h in hrefs if h and (u := canonical(h, base))]}
 
 
-def scrape_targets(targets: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def scrape_targets(targets: DataFrame, url_col: str = "url", html_col: str = "html", raw: bool = False) -> DataFrame:
     """targets (each with its spec's `fields` and `link_field`) but for their html, with data (JSON, null where a page
-    cannot be read) and links: one pass for all specs, whose fields are read once a batch."""
+    cannot be read) and links: one pass for all specs, whose fields are read once a process. raw: as in extract_pages()."""
+    none = {"data": None, "links": []}
 
-    @F.pandas_udf(RECORD)
-    def scrape(body: pd.Series, base: pd.Series, fields: pd.Series, link_field: pd.Series) -> pd.DataFrame:
-        read = {f: read_fields(f) for f in set(fields.dropna())}
-        rows = [scrape_record(b, u, read[f], k) if f in read else None for b, u, f, k in zip(body, base, fields, link_field, strict=True)]
-        return pd.DataFrame([r or {"data": None, "links": []} for r in rows], columns=RECORD.names)
+    def scrape(body: str | None, base: str, fields: str | None, link_field: str | None) -> dict:
+        return none if fields is None else scrape_record(body, base, _read_once(fields), link_field) or none
 
-    kept = [c for c in targets.columns if c not in (html_col, "fields", "link_field")]
-    return targets.withColumn("_r", scrape(F.col(html_col), F.col(url_col), F.col("fields"), F.col("link_field"))).select(*kept, "_r.*")
+    return _read(targets, [html_col, url_col, "fields", "link_field"], RECORD.fields, scrape, raw, {html_col, "fields", "link_field"}).drop("_found")
 
 
-def scrape_pages(targets: DataFrame, fields: str, link_field: str | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def scrape_pages(targets: DataFrame, fields: str, link_field: str | None = None, url_col: str = "url", html_col: str = "html", raw: bool = False) -> DataFrame:
     """As scrape_targets(), for targets of one spec."""
     read_fields(fields)
-    return scrape_targets(targets.withColumns({"fields": F.lit(fields), "link_field": F.lit(link_field).cast("string")}), url_col, html_col)
+    return scrape_targets(targets.withColumns({"fields": F.lit(fields), "link_field": F.lit(link_field).cast("string")}), url_col, html_col, raw)
 
 
 def blob_key(prefix: str, host: Column, row_id: Column, ext: str) -> Column:

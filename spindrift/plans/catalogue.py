@@ -159,8 +159,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).withColumn("url", U.normalize(F.col("url")))
-    out = extract.extract_pages(p, parts=("links",)).select("page_id", F.posexplode("links").alias("place", "l"))
+    out = extract.extract_pages(_pages(spark, d), parts=("links",), raw=True).select("page_id", F.posexplode("links").alias("place", "l"))
     return out.select("page_id", "place", "l.*")
 
 
@@ -407,8 +406,7 @@ def enroll_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sha256(url) AS url_key, url, 0 AS depth, 100 AS priority FROM (SELECT url FROM links UNION SELECT url FROM norm WHERE page_id IN (SELECT page_id FROM links)) WHERE url NOT IN (SELECT url FROM u0 WHERE url_id % 2 = 0)")
 def feed_links(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).withColumn("url", U.normalize(F.col("url")))
-    rows = extract.scrape_pages(p, json.dumps([{"name": "all", "selector": "a[href]", "attr": "href", "many": True}]), "all").filter("size(links) > 0")
+    rows = extract.scrape_pages(_pages(spark, d), json.dumps([{"name": "all", "selector": "a[href]", "attr": "href", "many": True}]), "all", raw=True).filter("size(links) > 0")
     fed = frontier.feed_links(rows.withColumnRenamed("page_id", "place"), T.urls(spark, d).filter("url_id % 2 = 0"), T.now())
     return fed.select("url_key", "url", "depth", "priority")
 

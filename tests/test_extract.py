@@ -71,3 +71,22 @@ def test_simhash():
     assert simhash_of("a b") == simhash_of("ab") and simhash_of("The quick brown fox") == simhash_of("the QUICK brown fox")
     a = "the quick brown fox jumps over the lazy dog and runs far away from the big bad wolf today " * 8
     assert ((simhash_of(a) ^ simhash_of(a + "end")) & (2**64 - 1)).bit_count() <= 6
+
+
+def _passes(df):
+    import re
+
+    return re.findall(r"ArrowEvalPython|MapInArrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_one_pass(spark):
+    """Pages are parsed once, in one pass that makes raw urls canonical too, whatever filters and explodes follow."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "HTTPS://www.Example.com/a%20b/?utm_source=x", PAGE, [1]), (2, "https://e.com/", None, None), (3, "mailto:q", PAGE, [])], "page_id long, url string, html string, kept array<int>")
+    links = extract.extract_pages(df, parts=("links",), raw=True).select("page_id", "url", "kept", F.explode("links").alias("l")).filter("l.url is not null")
+    assert [(r.page_id, r.url, r.kept, r.l.url) for r in links.collect() if r.page_id == 1] == [(1, "https://example.com/a b", [1], "https://example.com/n"), (1, "https://example.com/a b", [1], "https://example.com/x")]
+    assert _passes(links) == ["MapInArrow"]
+    rows = extract.scrape_pages(df, '[{"name": "m", "selector": "a", "attr": "href", "many": true}]', "m", raw=True).filter("size(links) > 0")
+    assert {r.page_id: (r.url, r.links[:1]) for r in rows.collect()}[1] == ("https://example.com/a b", ["https://example.com/n"])
+    assert _passes(rows) == ["MapInArrow"]
