@@ -225,6 +225,5 @@ def dense_ids(rows: DataFrame, order: list[str], first: int, id_col: str) -> Dat
 
 def feed_links(records: DataFrame, known: DataFrame, now: Column) -> DataFrame:
     """New rows for the links of scraped records (url, links, place) and for the pages that they come from: depth 0."""
-    origins = records.select("url", "place")
-    links = records.select(F.explode("links").alias("url"), "place")
-    return new_urls(origins.unionByName(links), known, "url", "place").withColumns({"depth": F.lit(0), "priority": F.lit(DEFAULT_PRIORITY), "status": F.lit("pending"), "next_crawl_at": now}).drop("n_seen")
+    both = F.concat(F.array("url"), F.coalesce("links", F.array().cast("array<string>")))  # in one pass: records may come from a parser
+    return new_urls(records.select(F.explode(both).alias("url"), "place"), known, "url", "place").withColumns({"depth": F.lit(0), "priority": F.lit(DEFAULT_PRIORITY), "status": F.lit("pending"), "next_crawl_at": now}).drop("n_seen")

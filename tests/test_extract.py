@@ -90,3 +90,15 @@ def test_one_pass(spark):
     rows = extract.scrape_pages(df, '[{"name": "m", "selector": "a", "attr": "href", "many": true}]', "m", raw=True).filter("size(links) > 0")
     assert {r.page_id: (r.url, r.links[:1]) for r in rows.collect()}[1] == ("https://example.com/a b", ["https://example.com/n"])
     assert _passes(rows) == ["MapInArrow"]
+
+
+def test_feed_parses_once(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import frontier
+
+    df = spark.createDataFrame([(1, "https://e.com/l", SHELF), (2, "https://e.com/m", None)], "place long, url string, html string")
+    rows = extract.scrape_pages(df, '[{"name": "m", "selector": "a", "attr": "href"}]', "m").withColumn("links", F.when(F.size("links") > 0, F.col("links")))
+    fed = frontier.feed_links(rows, spark.createDataFrame([], "url_key string"), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    assert _passes(fed).count("MapInArrow") == 1
+    assert sorted(r.url for r in fed.collect()) == ["https://e.com/l", "https://e.com/lights", "https://e.com/m"]
